@@ -280,6 +280,6 @@ def near_representatives(docs: DataFrame, words: int = WORDS, link: int = LINK,
     placed = firsts.join(labels, firsts["fingerprint"] == labels["node"], "left").select("one", F.coalesce("label", "fingerprint").alias("label"))
     kept = placed.groupBy("label").agg(F.min("one").alias("one")).select("one.key").distinct()
     n = len(docs.columns)
-    rows = docs.withColumn("key", mark).toDF(*(f"c{i}" for i in range(n)), "key")
+    rows = docs.select("*", mark.alias("mark of the row")).toDF(*(f"c{i}" for i in range(n)), "key")
     rows = rows.join(kept, "key", "left_semi").withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("key")))
     return rows.where("turn = 1").select(*(f"c{i}" for i in range(n))).toDF(*docs.columns)

@@ -4,9 +4,9 @@ P(grade <= k | x) = sigmoid(threshold_k - w . x): one weight vector shared by al
 output is the expected severity, the sum over k of P(grade > k); a document is toxic when P(grade > 0) reaches REJECT.
 
 Fitting uses a bounded sample of labelled rows (TRAIN_DOCS, in expectation, by a hash of the identifier). Labels say toxic
-or not; the grade of a toxic row is 1 to GRADES by the share of its words that are typical of toxic rows, cut at the sample's
-quantiles. Features are the log counts of the VOCABULARY words most associated with the label, where copies and near copies
-(rows with the same minimum shingle hash) count once. Prediction reads every text whole.
+or not; the grade of a toxic row is 1 to GRADES by how many words typical of toxic rows it has (the sum of their log counts),
+cut at the sample's quantiles. Features are the log counts of the VOCABULARY words and word stems most associated with the label, and whether any typical one occurs, where copies and near copies
+(rows with the same minimum hash of word pairs) count once. Prediction reads every text whole.
 
 Defined results: null and empty texts have no features and get the base rate's severity; null labels are ignored and of several
 labels of a document the most severe counts; without both labels in the sample every severity is 0; an empty table
@@ -27,14 +27,20 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import id_and_text, kept_on_disk, table
 
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 6_000
 VOCABULARY = 400
 GRADES = 3
 REJECT = 0.5
 SEED = 42
 #: A word must be typical by this chi-square value and occur in this share of the toxic rows.
-LEAST_CHI2, LEAST_SHARE = 40.0, 0.01
-STEPS, RATE, L2 = 600, 0.1, 1e-3
+LEAST_CHI2, LEAST_SHARE = 40.0, 0.02
+STEPS, RATE, L2 = 600, 0.1, 1e-4
+#: Code of the feature that any typical feature occurs; typical ones occur in toxic rows to this share.
+ANY, PURE = -1, 0.9
+#: Lengths of stems.
+STEMS = (4, 5, 6, 7)
+#: Words that a worker remembers.
+MEMORY = 500_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -44,10 +50,10 @@ def words_of(text: bytes | None) -> list[str]:
 
 
 def signature(words: list[str]) -> int:
-    """Minimum hash of the five-word shingles, which copies share and near copies nearly always."""
+    """Minimum hash of the word pairs, which copies share and near copies nearly always."""
     if not words:
         return 0
-    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), SEED) for i in range(max(1, len(words) - 4))) >> 1
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 2]), SEED) for i in range(max(1, len(words) - 1))) >> 1
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -80,17 +86,33 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int) -> tuple[np.ndarray,
     return p[:v], p[v] + np.concatenate(([0.0], np.cumsum(np.exp(p[v + 1 :]))))
 
 
+def features_of(word: str) -> list[int]:
+    """Hash codes of a word's features: itself, and its stems of 4 to 7 letters."""
+    return [xxhash.xxh64_intdigest(f, SEED) >> 1 for f in (word, *(f"{word[:k]}-" for k in STEMS if len(word) > k))]
+
+
 class Model:
-    def __init__(self, weights: dict[str, float], thresholds: np.ndarray) -> None:
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: dict[int, float], thresholds: np.ndarray, typical: frozenset[int] = frozenset()) -> None:
+        self.weights, self.thresholds, self.typical = weights, thresholds, typical
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def score(self, text: bytes | None) -> tuple[float, float, int]:
         """Expected severity, P(grade > 0), most likely grade."""
         if not len(self.thresholds):
             return 0.0, 0.0, 0
-        known = self.weights
-        hits = Counter([w for w in words_of(text) if w in known])
-        z = sum(np.log1p(c) * known[w] for w, c in hits.items())
+        hits: Counter = Counter()
+        known = self.known
+        if len(known) > MEMORY:
+            known.clear()
+        for word in words_of(text):
+            codes = known.get(word)
+            if codes is None:
+                codes = known[word] = tuple(c for c in features_of(word) if c in self.weights)
+            if codes:
+                hits.update(codes)
+        z = sum(np.log1p(c) * self.weights[code] for code, c in hits.items())
+        if not self.typical.isdisjoint(hits):
+            z += self.weights[ANY]
         above = 1 - sigmoid(self.thresholds - z)
         each = -np.diff(np.concatenate(([1.0], above, [0.0])))
         return float(above.sum()), float(above[0]), int(np.argmax(each))
@@ -107,47 +129,63 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words_of(t.as_py()) for t in batch.column("text")]
-            counts = [Counter(f) for f in found]
-            arrays = [batch.column("toxic"), pa.array([signature(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))]
+            bad = [t > 0 for t in batch.column("toxic").to_pylist()]
+            arrays = [pa.array(bad, pa.bool_()), pa.array([signature(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([list(Counter(f).items()) for f in found], pa.map_(pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "sig", "n", "words"])
 
-    sample = kept_on_disk(rows.select("toxic", "text").mapInArrow(words, "toxic int, sig long, n long, words map<string,long>"))
-    sizes = {r[0] > 0: r[1] for r in sample.groupBy(F.col("toxic") > 0).agg(F.countDistinct("sig")).collect()}
+    every = rows.select("toxic", "text").mapInArrow(words, "toxic boolean, sig long, n long, words map<string,long>")
+    sample = kept_on_disk(every.groupBy("sig", "toxic").agg(F.min_by("words", "n").alias("words")).coalesce(4))
+    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         sample.unpersist()
         return Model({}, np.zeros(0))
-    one = sample.select("sig", (F.col("toxic") > 0).alias("bad"), F.explode(F.map_keys("words")).alias("word")).distinct()
-    seen = one.groupBy("word").agg(F.sum(F.col("bad").cast("double")).alias("a"), F.sum((~F.col("bad")).cast("double")).alias("b"))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for bad, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                seen[bad].update({c for w, _ in own for c in features_of(w)})
+        codes = list(seen[0].keys() | seen[1].keys())
+        if codes:
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array([seen[1][c] for c in codes], pa.float64()), pa.array([seen[0][c] for c in codes], pa.float64())], names=["code", "a", "b"])
+
+    seen = sample.mapInArrow(counts, "code long, a double, b double").groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     pos, neg = float(sizes[True]), float(sizes[False])
     a, b = F.col("a"), F.col("b")
     c, d, total = F.lit(pos) - a, F.lit(neg) - b, F.lit(pos + neg)
     chi2 = total * (a * d - b * c) * (a * d - b * c) / (F.greatest((a + b) * (c + d), F.lit(1.0)) * F.lit(pos * neg))
     best = seen.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (F.greatest(a / pos, b / neg) >= LEAST_SHARE))
-    chosen = best.orderBy(F.desc("chi2"), "word").limit(VOCABULARY).select("word", "a", "b").collect()
-    names = [r["word"] for r in chosen]
-    place = {w: i for i, w in enumerate(names)}
-    bad_words = {r["word"] for r in chosen if r["a"] / pos > r["b"] / neg}
+    chosen = best.orderBy(F.desc("chi2"), "code").limit(VOCABULARY).select("code", "a", "b").collect()
+    place = {r["code"]: i for i, r in enumerate(chosen)}
+    typical = frozenset(r["code"] for r in chosen if r["a"] >= PURE * (r["a"] + r["b"]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[(place[w], k) for w, k in m if w in place] for m in batch.column("words").to_pylist()]
-            bad = [sum(k for w, k in m if w in bad_words) for m in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("n"), pa.array(bad, pa.int64()), pa.array(own, pa.map_(pa.int32(), pa.int64()))], names=["toxic", "n", "bad", "x"])
-
-    firsts = sample.groupBy("sig", "toxic").agg(F.min_by(F.struct("n", "words"), "n").alias("one")).select("toxic", "one.*")
-    got = firsts.select("toxic", "n", "words").mapInArrow(features, "toxic int, n long, bad long, x map<int,long>").collect()  # the bounded sample, VOCABULARY counts a row at most
+            own = []
+            for m in batch.column("words").to_pylist():
+                hits: Counter = Counter()
+                for w, k in m:
+                    for code in features_of(w):
+                        if code in place:
+                            hits[code] += k
+                own.append(list(hits.items()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.map_(pa.int64(), pa.int64()))], names=["toxic", "x"])
+
+    got = sample.select("toxic", "words").mapInArrow(features, "toxic boolean, x map<long,long>").collect()  # the bounded sample, VOCABULARY counts a row at most
     sample.unpersist()
-    got = sorted(got, key=lambda r: (r["toxic"], r["n"], r["bad"], sorted(r["x"].items())))
-    x = np.zeros((len(got), len(names)))
+    got = sorted(got, key=lambda r: (r["toxic"], sorted(r["x"].items())))
+    x = np.zeros((len(got), len(place) + 1))
+    mass = np.zeros(len(got))
     for i, r in enumerate(got):
-        for j, k in r["x"].items():
-            x[i, j] = np.log1p(k)
-    toxic = np.array([r["toxic"] > 0 for r in got])
-    density = np.array([r["bad"] / max(1, r["n"]) for r in got])
-    cuts = np.quantile(density[toxic], [k / GRADES for k in range(1, GRADES)]) if toxic.any() else np.zeros(GRADES - 1)
-    y = np.where(toxic, 1 + np.searchsorted(cuts, density, side="left"), 0)
+        for code, k in r["x"].items():
+            x[i, place[code]] = np.log1p(k)
+            mass[i] += np.log1p(k) * (code in typical)
+    x[:, -1] = mass > 0
+    toxic = np.array([r["toxic"] for r in got])
+    cuts = np.quantile(mass[toxic], [k / GRADES for k in range(1, GRADES)])
+    y = np.where(toxic, 1 + np.searchsorted(cuts, mass, side="left"), 0)
     w, t = fit_ordinal(x, y, GRADES)
-    return Model(dict(zip(names, w.tolist(), strict=True)), t)
+    return Model(dict(zip([*place, ANY], w.tolist(), strict=True)), t, typical)
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

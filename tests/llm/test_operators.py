@@ -130,7 +130,7 @@ def check_tokens(got, pairs):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
     ids = [(i, np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, text in pairs]
-    order = sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0))
+    order = sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0, np.frombuffer(x[1], "<u4").astype("<u2").tobytes()))
     starts = np.cumsum([0] + [len(b) // 4 for _, b in order]).tolist()
     same_rows([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], [(i, len(b) // 4, zlib.crc32(b)) for i, b in ids])
     assert sorted(r.start for r in got) == starts[:-1]
@@ -365,7 +365,7 @@ def test_toxicity(spark, docs, small):
     got = toxicity.severity(table, toxicity.fit(table, train)).join(labels.where("doc_id % 3 = 1"), "doc_id").select("severity", "p_toxic", F.col("grade"), labels["toxic"].alias("label"), (F.col("p_toxic") >= 0.5).alias("found")).collect()
     hit = [r for r in got if r.found]
     assert np.mean([r.label for r in hit]) > 0.85 and sum(r.label for r in hit) / sum(r.label for r in got) > 0.75
-    model = toxicity.Model({"scum": 5.0}, np.array([2.0, 3.0, 4.0]))
+    model = toxicity.Model({toxicity.features_of("scum")[0]: 5.0}, np.array([2.0, 3.0, 4.0]))
     left = toxicity.drop_toxic(docs, model)
     assert left.columns == docs.columns and left.count() == docs.count()
     none = toxicity.severity(docs, toxicity.fit(docs, spark.createDataFrame([(3, None), (None, 1)], "doc_id long, toxic int"))).collect()
