@@ -125,13 +125,26 @@ class WordEncoder:
         self.ids = np.zeros(0, f"<u{self.width}")
 
     def learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        base, n = len(self.ids), len(self.code)
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), self.ids.dtype, int(counts.sum()))))
-        self.start = np.concatenate((self.start, base + np.cumsum(counts) - counts))
-        self.count = np.concatenate((self.count, counts))
-        self.code.update(zip(words, range(n, n + len(words)), strict=True))
+        """Encode words not met before and remember them, those in ASCII many at a time."""
+        plain = [w for w in words if w.isascii()]
+        others = [w for w in words if not w.isascii()]
+        ids, counts = [], []
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            got = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            # in ASCII the normaliser moves nothing, so a token's offset tells its word
+            word = np.searchsorted(np.cumsum(sizes), np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids)), side="right")
+            ids.append(np.array(got.ids, self.ids.dtype))
+            counts.append(np.bincount(word, minlength=len(part)))
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)]
+        counts.append(np.fromiter(map(len, single), np.int64, len(single)))
+        ids.append(np.fromiter(chain.from_iterable(single), self.ids.dtype, int(counts[-1].sum())))
+        own, base, n = np.concatenate(counts), len(self.ids), len(self.code)
+        self.ids = np.concatenate((self.ids, *ids))
+        self.start = np.concatenate((self.start, base + np.cumsum(own) - own))
+        self.count = np.concatenate((self.count, own))
+        self.code.update(zip(chain(plain, others), range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.code) > MEMORY:
