@@ -32,26 +32,33 @@ LONG = 256
 #: Words that a worker remembers.
 MEMORY = 400_000
 
+#: Rows are (word << 20) + position and token. A round looks up each neighbouring pair in the merge table and contracts the
+#: leftmost pair of minimum rank of each word; words without one are final and leave the recursion.
 ENCODE = """
+CREATE OR REPLACE TEMP TABLE done AS
 WITH RECURSIVE step AS (
-  SELECT 0 AS turn, word, pos, id FROM start
+  SELECT false AS final, k, id FROM start
   UNION ALL
-  SELECT turn + 1, word, pos, CASE WHEN pos = best & 1048575 THEN best >> 20 ELSE id END
-  FROM (
-    SELECT *, min((merged << 20) + pos) OVER (PARTITION BY word) AS best
-    FROM (
-      SELECT s.turn, s.word, s.pos, s.id, s.before, m.merged
-      FROM (SELECT turn, word, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
-            FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-      LEFT JOIN merges m ON m.pair = (s.id << 20) + s.next_id
-    )
-  )
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> best & 1048575)
-), done AS (
-  SELECT word, pos, id FROM step QUALIFY turn = max(turn) OVER (PARTITION BY word)
+  (WITH pairs AS MATERIALIZED (
+     SELECT s.k, s.id, s.before, s.k >> 20 AS word, m.merged
+     FROM (SELECT k, id, lead(id) OVER w AS next_id, lead(k) OVER w AS next_k, lag(k) OVER w AS before
+           FROM step WHERE NOT final WINDOW w AS (ORDER BY k)) s
+     LEFT JOIN merges m ON m.pair = CASE WHEN s.next_k >> 20 = s.k >> 20 THEN (s.id << 20) + s.next_id END
+   ), least AS (
+     SELECT word, min((merged << 20) + (k & 1048575)) AS best FROM pairs WHERE merged IS NOT NULL GROUP BY word
+   )
+   SELECT best IS NULL, p.k, CASE WHEN p.k & 1048575 = best & 1048575 THEN best >> 20 ELSE p.id END
+   FROM pairs p LEFT JOIN least l ON p.word = l.word
+   WHERE best IS NULL OR before IS NULL OR before <> (p.word << 20) + (best & 1048575))
 )
-SELECT word, list(id ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS decoded
-FROM done JOIN vocabulary USING (id) GROUP BY word ORDER BY word
+SELECT k, id FROM step WHERE final
+"""
+
+ENCODED = "SELECT k, id FROM done ORDER BY k"
+
+DECODED = """
+SELECT string_agg(piece, '' ORDER BY k) AS decoded
+FROM done JOIN vocabulary USING (id) GROUP BY k >> 20 ORDER BY k >> 20
 """
 
 DECODE = """
@@ -139,11 +146,14 @@ class DuckBpe:
             flat = np.frombuffer(b"".join(data[i] for i in merge), np.uint8)
             word = np.repeat(np.arange(len(merge)), sizes)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("start", pa.table({"word": word, "pos": pos, "id": self.byte_id[flat]}))
-            got = self.db.execute(ENCODE).to_arrow_table()
+            self.db.register("start", pa.table({"k": (word << 20) + pos, "id": self.byte_id[flat]}))
+            self.db.execute(ENCODE)
             self.db.unregister("start")
-            for i, own, text in zip(merge, got["ids"].to_pylist(), got["decoded"].to_pylist(), strict=True):
-                ids[i], plain[i] = own, text.encode("latin-1")
+            got = self.db.execute(ENCODED).fetchnumpy()
+            ends = np.searchsorted(got["k"] >> 20, np.arange(len(merge)), side="right").tolist()
+            tokens, texts = got["id"].tolist(), self.db.execute(DECODED).fetchall()
+            for i, first, end, (text,) in zip(merge, [0, *ends], ends, texts, strict=False):
+                ids[i], plain[i] = tokens[first:end], text.encode("latin-1")
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.ids)
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))))
