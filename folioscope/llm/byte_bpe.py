@@ -30,7 +30,7 @@ from folioscope.llm.common import id_and_text, slices, table, tokenizer_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 
 #: Rows are (word << 20) + position and token. A round looks up each neighbouring pair in the merge table and contracts the
 #: leftmost pair of minimum rank of each word; words without one are final and leave the recursion.
@@ -82,7 +82,7 @@ class DuckBpe:
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):

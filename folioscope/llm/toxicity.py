@@ -39,8 +39,8 @@ STEPS, RATE, L2 = 600, 0.1, 1e-4
 ANY, PURE = -1, 0.9
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
-#: Words that a worker remembers.
-MEMORY = 500_000
+#: Words that a task remembers.
+MEMORY = 200_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -198,6 +198,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             rows = [own.score(t.as_py()) for t in batch.column("text")]
             p = [r[1] for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.float64()), pa.array(p, pa.float64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([v >= REJECT for v in p])], names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
+        own.known.clear()  # the worker keeps the model longer than the task
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
@@ -213,6 +214,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             texts = (t.as_py() for t in batch.column(at))
             keep = [own.score(t.encode() if isinstance(t, str) else t)[1] < REJECT for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        own.known.clear()
 
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
 
