@@ -133,11 +133,12 @@ class Mix:
         """The rows with `taken`, the words of theirs that the mix has."""
         rows = kept_on_disk(self.streams())
         times = self.slots().groupBy("ordinal", "block").agg(F.count("*").alias("times"))
-        drawn = self.pieces(rows).join(times, ["ordinal", "block"]).groupBy("ordinal", "start", "doc_id", "code").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
+        # both sides of these joins grow with the data, so neither may be broadcast
+        drawn = self.pieces(rows).join(times.hint("merge"), ["ordinal", "block"]).groupBy("ordinal", "start", "doc_id", "code").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
         drawn = drawn.select(F.col("ordinal").alias("o"), F.col("start").alias("s"), "words")
         # a row with words is the only one that starts at its place in the stream
         same = (F.col("ordinal") == F.col("o")) & (F.col("start") == F.col("s")) & (F.col("size") > 0)
-        return rows.join(drawn, same, "left").select("doc_id", "code", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+        return rows.join(drawn.hint("merge"), same, "left").select("doc_id", "code", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -147,7 +148,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     mix = Mix(docs, id_col, text_col, source_col)
     rows = mix.streams()
-    drawn = mix.pieces(rows).join(mix.slots().select("ordinal", "block", "pass"), ["ordinal", "block"])
+    drawn = mix.pieces(rows).join(mix.slots().select("ordinal", "block", "pass").hint("merge"), ["ordinal", "block"])
     passes = drawn.groupBy("doc_id", "code", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("cuts"))
     # rows that repeat have pieces of their own; the k-th of them takes the k-th start
     starts = passes.groupBy("doc_id", "code", "start").agg(F.collect_list(F.struct("pass", "cuts")).alias("passes"))
@@ -159,7 +160,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col(c[text_col])
     wide = wide.withColumn("id", F.col(c[id_col])).withColumn("code", F.xxhash64(text.cast("string")))
     wide = wide.withColumn("turn", F.row_number().over(W.partitionBy("id", "code").orderBy("id")))
-    wide = wide.join(plan, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("code") == F.col("of_code")))
+    wide = wide.join(plan.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("code") == F.col("of_code")))
     wide = wide.withColumn("own", F.get("turns", F.col("turn") - 1)["passes"]).where("own is not null")
     wide = wide.select(*c.values(), F.explode("own").alias("one"))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
