@@ -10,7 +10,10 @@ from pyspark.sql.window import Window as W
 
 from folioscope.functions import predicates as P
 from folioscope.functions import text as X
+from folioscope.operators import lists as M
 from folioscope.operators import relational as R
+from folioscope.operators import state as S
+from folioscope.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -340,3 +343,97 @@ def r2_repeated_shingles(t):
     w = t("documents").select("doc_id", F.split(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), " ").alias("w")).where("size(w) >= 6")
     s = w.select("doc_id", F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")).alias("s"))
     return s.select("doc_id", F.round(1 - F.size(F.array_distinct("s")) / F.size("s"), 6).alias("rate"))
+
+
+# lookups by precedence
+
+
+@query(f"WITH k AS (SELECT {norm('p_name')} AS title, p_brand || p_size AS doi FROM part WHERE p_size <= 2), a AS (SELECT p_partkey, {norm('p_name')} AS title, CASE WHEN p_partkey % 3 = 0 THEN p_brand || least(p_size, 5) END AS doi FROM part) SELECT p_partkey, CASE WHEN doi IS NOT NULL THEN doi IN (SELECT doi FROM k) ELSE title IN (SELECT title FROM k) END AS known FROM a")
+def c5_exists(t):
+    rows = t("part").select("p_partkey", "p_size", X.normalize_text(F.col("p_name")).alias("title"), F.concat("p_brand", F.col("p_size").cast("string")).alias("own"), F.concat("p_brand", F.least("p_size", F.lit(5)).cast("string")).alias("near"))
+    asked = rows.select("p_partkey", "title", F.when(F.col("p_partkey") % 3 == 0, F.col("near")).alias("doi"))
+    return S.exists_exact(asked, rows.where("p_size <= 2").select("title", F.col("own").alias("doi")), "p_partkey")
+
+
+@query("WITH a AS (SELECT doc_id, doc_id % 150 AS k, lang FROM documents), hits AS (SELECT doc_id, page_id AS target, 'page' AS how, 0 AS place FROM a JOIN pages ON page_id = k UNION ALL SELECT doc_id, target, 'lang', 1 FROM a JOIN (SELECT lang, min(doc_id) AS target FROM documents GROUP BY 1) USING (lang)) SELECT doc_id, target, how FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place, target) = 1")
+def c8_resolve(t):
+    asked = t("documents").select("doc_id", (F.col("doc_id") % 150).alias("k"), "lang")
+    langs = t("documents").groupBy(F.col("lang").alias("term")).agg(F.min("doc_id").alias("target"))
+    return S.resolve(asked, [("page", "k", t("pages").select(F.col("page_id").alias("term"), F.col("page_id").alias("target"))), ("lang", "lang", langs)], "doc_id")
+
+
+# curated lists: a brand's parts by key
+
+_LIST = "SELECT p_brand AS list, p_partkey AS key, p_size AS size, p_type AS type, p_name AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos FROM part"
+
+
+def lists(t):
+    rows = t("part").select(F.col("p_brand").alias("list"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
+    return M.renumber(rows, "key")
+
+
+@query(f"SELECT list, key, CAST(row_number() OVER (PARTITION BY list ORDER BY pos) AS INTEGER) AS pos FROM ({_LIST}) WHERE size % 3 <> 0")
+def m1_remove(t):
+    items = lists(t)
+    return M.remove(items, items.where("size % 3 = 0")).select("list", "key", "pos")
+
+
+@query(f"SELECT list, key, CAST(row_number() OVER (PARTITION BY list ORDER BY CASE WHEN size > 30 THEN coalesce(a + 0.5, 1e18) ELSE pos END, pos) AS INTEGER) AS pos FROM (SELECT *, min(CASE WHEN size < 10 THEN pos END) OVER (PARTITION BY list) AS a FROM ({_LIST}))")
+def m2_move_after(t):
+    return M.move(lists(t), F.col("size") > 30, M.after(F.col("size") < 10)).select("list", "key", "pos")
+
+
+@query(f"SELECT list, key, CAST(row_number() OVER (PARTITION BY list ORDER BY size > 45 DESC, pos) AS INTEGER) AS pos FROM ({_LIST})")
+def m3_move_top(t):
+    return M.move(lists(t), F.col("size") > 45, M.TOP).select("list", "key", "pos")
+
+
+@query(f"SELECT list, key, CAST(row_number() OVER (PARTITION BY list ORDER BY lower(name), size DESC, key) AS INTEGER) AS pos FROM ({_LIST})")
+def m4_sort(t):
+    return M.renumber(lists(t), F.lower("name"), F.desc("size"), "key").select("list", "key", "pos")
+
+
+@query(f"SELECT key, CASE WHEN size > 20 THEN type || '; big' ELSE type END AS type, CASE WHEN size % 2 = 0 THEN name ELSE 'odd' END AS name FROM ({_LIST})")
+def m5_set_cell(t):
+    items = lists(t).withColumn("name", F.when(F.col("size") % 2 == 0, F.col("name")).otherwise(F.lit("")))
+    items = M.set_cell(M.set_cell(items, "type", F.col("size") > 20, F.lit("big"), "append"), "name", F.lit(True), F.lit("odd"), "fill")
+    return items.select("key", "type", "name")
+
+
+@query(f"SELECT key, array_to_string(list_concat(list_filter(string_split(type, ' '), lambda x: lower(x) NOT IN ('steel', 'large')), ['New']), ';') AS tags FROM ({_LIST})")
+def m6_retag(t):
+    return lists(t).select("key", F.array_join(M.retag(F.split("type", " "), ["New", "new"], ["STEEL", "large"]), ";").alias("tags"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE CASE WHEN p_partkey % 3 = 0 THEN p_type END END AS name FROM part")
+def m7_fill_empty(t):
+    rows = t("part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.lit("")).alias("name"))
+    return M.fill_empty(rows, t("part").where("p_partkey % 3 = 0").select("p_partkey", F.col("p_type").alias("name")), "p_partkey", ["name"])
+
+
+# state between runs
+
+
+@query("SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def o6_prune(t):
+    stored = t("orders").where("o_orderstatus = 'F'").select("o_custkey").distinct()
+    return S.prune(stored, t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 50 = 0) GROUP BY 1, 2")
+def o7_problem_log(t):
+    e, key = t("events"), ["user_id", "event_type"]
+    stored = e.where("event_id % 2 = 0").groupBy(*key).agg(F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"))
+    return S.problem_log(stored, e.where("event_id % 2 = 1").withColumnRenamed("event_id", "at"), e.where("event_id % 50 = 0"), key)
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_custkey % 2 = 0 AND o_orderstatus = 'O')")
+def o4_pending(t):
+    orders = t("orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("sig"))
+    stamps = orders.select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.lit("O")).otherwise(F.lit("old")).alias("sig"), F.lit(2).alias("version"))
+    return S.pending(orders, stamps, "o_orderkey", 2).select("o_orderkey")
+
+
+@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def o12_sessions(t):
+    return changes.sessions(t("events"), "user_id", "ts", "12 hours")
