@@ -92,3 +92,9 @@ def tags_match(have: Column, want: list[str], how: str) -> Column:
 def plausible(value: Column, low: float, high: float) -> Column:
     """Whether every number in the value lies in the range; a value without numbers passes."""
     return F.forall(F.regexp_extract_all(text_or_empty(value), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double").between(low, high))
+
+
+def positions_of_words(words: Column) -> Column:
+    """Inverted index of an array of words: a map of word to its positions, from 0."""
+    at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.transform(F.filter(at, lambda p: p["w"] == w), lambda p: p["i"]))))

@@ -101,3 +101,65 @@ def crawl(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         level = found.join(reached.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"), "in_links")
         reached = reached.unionByName(level)
     return reached
+
+
+def nearest(a: DataFrame, b: DataFrame, key: str, pos: str, window: int) -> DataFrame:
+    """Rows of `a` that have a row of `b` of their key within `window`, with its distance. `pos` is a whole number.
+
+    Positions are cut into cells of the window's size and each b goes to three cells, so a hot key spreads over its cells
+    and no pairs are formed.
+    """
+    cell = F.floor(F.col(pos) / window)
+    names = a.columns
+    left = a.select(F.struct(*names).alias("_a"), F.col(key).alias("_k"), cell.alias("_c"), F.col(pos).alias("_p"), F.lit(None).cast("long").alias("_b"))
+    # of the b in a place one is enough
+    right = b.select(F.col(key).alias("_k"), cell.alias("_m"), F.col(pos).alias("_p")).distinct()
+    right = right.select("_k", F.explode(F.sequence(F.col("_m") - 1, F.col("_m") + 1)).alias("_c"), "_p", F.col("_p").alias("_b"))
+    order = W.partitionBy("_k", "_c").orderBy("_p")
+    below = F.max("_b").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+    above = F.min("_b").over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    rows = left.unionByName(right, allowMissingColumns=True).withColumns({"_below": below, "_above": above}).where("_a is not null")
+    distance = F.least(F.col("_p") - F.col("_below"), F.col("_above") - F.col("_p"))
+    return rows.select(*(F.col("_a")[n].alias(n) for n in names), distance.alias("distance")).where(F.col("distance") <= window)
+
+
+def same_start(asked: DataFrame, known: DataFrame, title: str, least: int = 25) -> DataFrame:
+    """Asked rows whose title starts a known one or the other way round, both longer than `least`. Blocks: the first characters."""
+    t = known.select(F.col(title).alias("_t")).where(F.length("_t") > least).distinct()
+    block = F.substring(F.col(title), 1, least + 1) == F.substring("_t", 1, least + 1)
+    either = F.startswith(F.col(title), F.col("_t")) | F.startswith(F.col("_t"), F.col(title))
+    return asked.where(F.length(title) > least).join(t, block & either, "left_semi")
+
+
+def value_counts(values: DataFrame, group: list[str], value: str, pos: str) -> DataFrame:
+    """How often each value occurs whatever its case; the first spelling stays."""
+    return values.groupBy(*group, F.lower(value).alias("folded")).agg(F.count("*").alias("n"), F.min_by(value, pos).alias("spelling"))
+
+
+def first_filled(rows: DataFrame, key: str, pos: str, columns: list[str]) -> DataFrame:
+    """A row per key: how many there were, and of each column the first value that is not empty."""
+    filled = [F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(pos))).alias(c) for c in columns]
+    return rows.groupBy(key).agg(F.count("*").alias("n"), *filled)
+
+
+def blocks(starts: Column, partition: list[str], order: list[str]) -> Column:
+    """Number of the block that a row lies in; a row where `starts` holds opens one."""
+    return F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+
+
+def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Keys that were added, removed or changed between two versions of a table of the same columns."""
+    rest = [c for c in before.columns if c != key]
+    a = before.select(F.col(key).alias("_a"), F.struct(*rest).alias("_x"))
+    b = after.select(F.col(key).alias("_b"), F.struct(*rest).alias("_y"))
+    kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_x").eqNullSafe(F.col("_y")), "changed")
+    return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), kind.alias("change")).where("change is not null")
+
+
+def word_overlap(left: DataFrame, right: DataFrame, key: str, word: str) -> DataFrame:
+    """Precision and recall of the left words as a multiset against the right ones, per key that has both."""
+    a = left.groupBy(key, word).agg(F.count("*").alias("_l"))
+    b = right.groupBy(key, word).agg(F.count("*").alias("_r"))
+    rows = a.join(b, [key, word], "full_outer").na.fill(0, ["_l", "_r"])
+    sums = rows.groupBy(key).agg(F.sum(F.least("_l", "_r")).alias("_both"), F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    return sums.where("_l > 0 and _r > 0").select(key, F.round(F.col("_both") / F.col("_l"), 6).alias("precision"), F.round(F.col("_both") / F.col("_r"), 6).alias("recall"))

@@ -437,3 +437,57 @@ def o4_pending(t):
 @query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 def o12_sessions(t):
     return changes.sessions(t("events"), "user_id", "ts", "12 hours")
+
+
+# proximity, merges and blocks
+
+
+@query("WITH a AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), b AS (SELECT DISTINCT user_id, s FROM a WHERE event_type = 'click') SELECT event_id, min(abs(a.s - b.s)) AS distance FROM a JOIN b USING (user_id) WHERE event_type = 'purchase' AND abs(a.s - b.s) <= 36000 GROUP BY 1")
+def c16_nearest_within(t):
+    e = t("events").select("event_id", "user_id", "event_type", F.expr("cast(floor(cast(cast(ts as timestamp) as double)) as bigint) as s"))
+    return R.nearest(e.where("event_type = 'purchase'").select("event_id", "user_id", "s"), e.where("event_type = 'click'"), "user_id", "s", 36000).select("event_id", "distance")
+
+
+@query(f"WITH w AS (SELECT p_partkey, p_size, {TITLE} AS title FROM part), k AS (SELECT DISTINCT substring(title, 1, 30) AS t FROM w WHERE p_size <= 25) SELECT p_partkey FROM w WHERE length(title) > 25 AND EXISTS (SELECT 1 FROM k WHERE length(t) > 25 AND substring(t, 1, 26) = substring(title, 1, 26) AND (starts_with(title, t) OR starts_with(t, title)))")
+def c21_same_start(t):
+    known = works(t).where("p_size <= 25").select(F.substring("title", 1, 30).alias("title"))
+    return R.same_start(works(t), known, "title").select("p_partkey")
+
+
+@query("SELECT user_id, lower(v) AS folded, count(*) AS n, arg_min(v, event_id) AS spelling FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS v FROM events) GROUP BY 1, 2")
+def d13_value_counts(t):
+    rows = t("events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("v"))
+    return R.value_counts(rows, ["user_id"], "v", "event_id")
+
+
+@query("SELECT p_name, count(*) AS n, arg_min(p_brand, p_partkey) FILTER (WHERE p_size > 10) AS brand, arg_min(p_type, p_partkey) AS type FROM part GROUP BY 1")
+def d20_first_filled(t):
+    rows = t("part").select("p_name", "p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise(F.lit("")).alias("brand"), F.col("p_type").alias("type"))
+    return R.first_filled(rows, "p_name", "p_partkey", ["brand", "type"])
+
+
+@query("SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM conversations")
+def e6_blocks(t):
+    return t("conversations").select("conv_id", "turn", R.blocks(F.col("role") == "user", ["conv_id"], ["turn", "role", "text"]).alias("block"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 7 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE p_size END AS v FROM part WHERE p_partkey % 11 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v")
+def g2_changes(t):
+    p = t("part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    later = p.where("k % 11 <> 0").withColumn("v", F.when(F.col("k") % 5 == 0, F.lit(1)).otherwise(F.col("v")))
+    return R.changes(p.where("k % 7 <> 0"), later, "k")
+
+
+@query("SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') AS words FROM conversations")
+def h25_inverted_index(t):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return t("conversations").select("conv_id", "turn", X.words_from_positions(X.positions_of_words(words)).alias("words"))
+
+
+_WORDS = "SELECT {0} AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {1}"
+
+
+@query(f"WITH a AS (SELECT id, w, count(*) AS l FROM ({_WORDS.format('doc_id', 'documents')}) GROUP BY 1, 2), b AS (SELECT id, w, count(*) AS r FROM ({_WORDS.format('item_id', 'benchmark')}) GROUP BY 1, 2), m AS (SELECT id, sum(least(coalesce(l, 0), coalesce(r, 0))) AS x, sum(l) AS l, sum(r) AS r FROM a FULL JOIN b USING (id, w) GROUP BY 1) SELECT id, round(x / l, 6) AS precision, round(x / r, 6) AS recall FROM m WHERE l > 0 AND r > 0")
+def r1_word_overlap(t):
+    words = lambda name, key: t(name).select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    return R.word_overlap(words("documents", "doc_id"), words("benchmark", "item_id"), "id", "w")
