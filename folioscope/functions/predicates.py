@@ -77,3 +77,9 @@ def parse_range(spec: str, most: int = 100_000) -> list[tuple[int, int]]:
 
 def in_ranges(pos: Column, spans: list[tuple[int, int]]) -> Column:
     return reduce(or_, (pos.between(a, b) for a, b in spans), F.lit(False))
+
+
+def near_miss(criteria: dict[str, Column]) -> Column:
+    """The name of the criterion that fails if exactly one does, else null; an unknown criterion counts as failed."""
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in criteria.items())))
+    return F.when(F.size(failed) == 1, F.get(failed, F.lit(0)))

@@ -98,3 +98,17 @@ def positions_of_words(words: Column) -> Column:
     """Inverted index of an array of words: a map of word to its positions, from 0."""
     at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.transform(F.filter(at, lambda p: p["w"] == w), lambda p: p["i"]))))
+
+
+def accessions(text: Column, urls: Column) -> Column:
+    """Data set numbers (ds and six digits) in a text, each once, without those that a URL already holds."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"\bds\d{6}\b"), F.lit(0)))
+    return F.filter(found, lambda a: ~F.exists(urls, lambda u: F.contains(F.lower(u), a)))
+
+
+def repository(url: Column, host: str, reserved: tuple[str, ...] = ()) -> Column:
+    """owner/name of a repository URL on the host, lower case; null without both or where the owner is a reserved word."""
+    key = F.regexp_replace(link_key(url), "[?#].*$", "")
+    owner, name = F.split_part(key, F.lit("/"), F.lit(2)), F.regexp_replace(F.split_part(key, F.lit("/"), F.lit(3)), r"\.git$", "")
+    fits = (F.split_part(key, F.lit("/"), F.lit(1)) == host) & (owner != "") & (name != "")
+    return F.when(fits & ~owner.isin(*reserved) if reserved else fits, F.concat_ws("/", owner, name))

@@ -41,3 +41,13 @@ def resolve(asked: DataFrame, legs: list[tuple[str, str, DataFrame]], key: str)
         hit = asked.select(key, F.col(column).alias("term")).join(terms.select("term", "target"), "term").select(key, "target", F.lit(how).alias("how"), F.lit(place).alias("place"))
         found = hit if found is None else found.unionByName(hit)
     return first_per_key(found, [key], ["place", "target"]).drop("place")
+
+
+def inferred(papers: DataFrame, uses: DataFrame, agreed: DataFrame, key: str, value: str, group: str) -> DataFrame:
+    """A paper's own value, else the agreed one of its group if exactly one of its groups has one; `source` says which."""
+    known = uses.select(key, group).distinct().join(agreed.select(group, F.col(value).alias("_v")), group)
+    one = known.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.min("_v").alias("_v"))
+    rows = papers.join(one, F.col(key) == F.col("_k"), "left")
+    own = F.nullif(F.col(value), F.lit(""))
+    source = F.when(own.isNotNull(), "own").when(F.col("_n") == 1, "inferred").when(F.col("_n") > 1, "several")
+    return rows.select(key, F.coalesce(own, F.when(F.col("_n") == 1, F.col("_v"))).alias(value), source.alias("source"))

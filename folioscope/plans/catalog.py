@@ -491,3 +491,37 @@ _WORDS = "SELECT {0} AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS
 def r1_word_overlap(t):
     words = lambda name, key: t(name).select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     return R.word_overlap(words("documents", "doc_id"), words("benchmark", "item_id"), "id", "w")
+
+
+# extraction and screening
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'ds' || lpad(CAST(page_id AS VARCHAR), 6, '0') END AS accessions FROM pages")
+def j3_accessions(t):
+    own = F.concat(F.lit("DS"), F.lpad(F.col("page_id").cast("string"), 6, "0"))
+    text = F.concat_ws(" ", F.lit("data at"), own, F.lit("and again"), own, F.lit("not ds12"))
+    urls = F.array("url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://data.org/"), F.lower(own))).otherwise(F.lit("")))
+    return t("pages").select("page_id", F.array_join(X.accessions(text, urls), ";").alias("accessions"))
+
+
+@query("WITH a AS (SELECT l_suppkey, min(l_returnflag) AS flag FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1), o AS (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) FILTER (WHERE flag IS NOT NULL) AS n, min(flag) AS flag FROM lineitem LEFT JOIN a USING (l_suppkey) GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus WHEN n = 1 THEN flag END AS flag, CASE WHEN o_orderkey % 4 = 0 THEN 'own' WHEN n = 1 THEN 'inferred' WHEN n > 1 THEN 'several' END AS source FROM orders LEFT JOIN o ON k = o_orderkey")
+def j8_inferred(t):
+    papers = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).otherwise(F.lit("")).alias("flag"))
+    uses = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    agreed = t("lineitem").where("l_suppkey % 3 = 0").groupBy("l_suppkey").agg(F.min("l_returnflag").alias("flag"))
+    return S.inferred(papers, uses, agreed, "o_orderkey", "flag", "l_suppkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1) THEN lower(replace(p_brand, '#', '')) || '/p' || p_partkey END AS repo FROM part")
+def j18_repository(t):
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    tail = F.concat(F.lit("/P"), F.col("p_partkey").cast("string"))
+    kind = F.col("p_partkey") % 4
+    url = F.when(kind == 0, F.concat(F.lit("https://www.github.com/"), brand, tail, F.lit(".git"))).when(kind == 1, F.concat(F.lit("http://github.com/"), brand, tail, F.lit("/tree/main?x=1"))).when(kind == 2, F.concat(F.lit("https://github.com/topics"), tail)).otherwise(F.concat(F.lit("https://github.com/"), brand))
+    return t("part").select("p_partkey", X.repository(url, "github.com", ("topics", "orgs")).alias("repo"))
+
+
+@query("SELECT doc_id, CASE WHEN CAST(quality = 1 AS INTEGER) + CAST(toxic = 0 AS INTEGER) + CAST(n_chars > 500 AS INTEGER) = 2 THEN CASE WHEN quality <> 1 THEN 'quality' WHEN toxic <> 0 THEN 'toxic' ELSE 'length' END END AS miss FROM documents JOIN labels USING (doc_id)")
+def k3_near_miss(t):
+    tests = {"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 0, "length": F.col("n_chars") > 500}
+    return t("documents").join(t("labels"), "doc_id").select("doc_id", P.near_miss(tests).alias("miss"))
