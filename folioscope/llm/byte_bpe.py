@@ -30,7 +30,9 @@ from folioscope.llm.common import id_and_text, slices, table, tokenizer_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Words that a worker remembers.
-MEMORY = 250_000
+MEMORY = 150_000
+#: Bytes of text that are encoded together, and bytes of words that one recursive query takes.
+SLICE, PORTION = 1 << 20, 1 << 18
 
 #: Rows are (word << 20) + position and token. A round looks up each neighbouring pair in the merge table and contracts the
 #: leftmost pair of minimum rank of each word; words without one are final and leave the recursion.
@@ -82,7 +84,7 @@ class DuckBpe:
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -128,6 +130,20 @@ class DuckBpe:
             offer(prev[i])
         return [ids[i] for i in range(n) if token[i]]
 
+    @staticmethod
+    def portions(merge: list[int], data: list[bytes]) -> Iterator[list[int]]:
+        """Consecutive words of about PORTION bytes, so that a query's tables stay small whatever the text."""
+        own: list[int] = []
+        total = 0
+        for i in merge:
+            own.append(i)
+            total += len(data[i])
+            if total >= PORTION:
+                yield own
+                own, total = [], 0
+        if own:
+            yield own
+
     def learn(self, words: list[str]) -> None:
         """Encode words not met before and remember them."""
         data = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -141,18 +157,18 @@ class DuckBpe:
                 ids[i] = self.heap_merge(d)
             else:
                 merge.append(i)
-        if merge:
-            sizes = np.fromiter((len(data[i]) for i in merge), np.int64, len(merge))
-            flat = np.frombuffer(b"".join(data[i] for i in merge), np.uint8)
-            word = np.repeat(np.arange(len(merge)), sizes)
+        for own in self.portions(merge, data):
+            sizes = np.fromiter((len(data[i]) for i in own), np.int64, len(own))
+            flat = np.frombuffer(b"".join(data[i] for i in own), np.uint8)
+            word = np.repeat(np.arange(len(own)), sizes)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             self.db.register("start", pa.table({"k": (word << 20) + pos, "id": self.byte_id[flat]}))
             self.db.execute(ENCODE)
             self.db.unregister("start")
             got = self.db.execute(ENCODED).fetchnumpy()
-            ends = np.searchsorted(got["k"] >> 20, np.arange(len(merge)), side="right").tolist()
+            ends = np.searchsorted(got["k"] >> 20, np.arange(len(own)), side="right").tolist()
             tokens, texts = got["id"].tolist(), self.db.execute(DECODED).fetchall()
-            for i, first, end, (text,) in zip(merge, [0, *ends], ends, texts, strict=False):
+            for i, first, end, (text,) in zip(own, [0, *ends], ends, texts, strict=False):
                 ids[i], plain[i] = tokens[first:end], text.encode("latin-1")
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.ids)
@@ -217,7 +233,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path, pattern)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 texts = [(t.as_py() or b"").decode("utf-8", "replace") for t in part.column("text")]
                 data, n, sha, back = [], [], [], []
                 for ids, decoded in bpe.encode(texts):
