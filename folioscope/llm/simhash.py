@@ -39,6 +39,8 @@ FAN = 16
 TASK_ROWS = 400_000
 #: Frontier entries that a search holds at once.
 FRONTIER = 1 << 20
+#: Edges per file of the checkpoints between rounds, and files at least (where there are as many partitions).
+CUT_ROWS, CUT_PARTS = 250_000, 8
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -223,24 +225,25 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge, label being the smallest node of its component."""
     edges = cut(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct())
     labels = None
-    while not edges.isEmpty():
+    while n := edges.count():
+        few = scaled(n, CUT_ROWS, CUT_PARTS)  # files of a checkpoint, by the rows it may hold
         hooks = edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("up"))
         roots = edges.select(F.col("low").alias("node")).distinct().join(hooks, "node", "left_anti")
-        hooks = cut(hooks.union(roots.select("node", F.col("node").alias("up"))))
+        hooks = cut(hooks.union(roots.select("node", F.col("node").alias("up"))).coalesce(few))
         while True:  # pointer halving until all point at roots
             above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            raised = cut(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            raised = cut(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")).coalesce(few))
             hooks = raised.select("node", "up")
             if raised.where("moved").isEmpty():
                 break
         to = hooks.select(F.col("node").alias("was"), F.col("up").alias("now"))
         if labels is None:
-            labels = hooks.select("node", F.col("up").alias("label"))
+            labels, most = hooks.select("node", F.col("up").alias("label")), few
         else:
-            labels = cut(labels.join(to, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")))
+            labels = cut(labels.join(to, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")).coalesce(most))
         low, high = to.toDF("low", "new_low"), to.toDF("high", "new_high")
         moved = edges.join(low, "low").join(high, "high").select(F.least("new_low", "new_high").alias("low"), F.greatest("new_low", "new_high").alias("high"))
-        edges = cut(moved.where("low < high").distinct())
+        edges = cut(moved.where("low < high").distinct().coalesce(few))
     return labels if labels is not None else edges.select(F.col("low").alias("node"), F.col("high").alias("label"))
 
 
