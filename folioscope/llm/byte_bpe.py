@@ -3,7 +3,7 @@
 Texts are cut by the tokenizer's pattern. Words that a partition has not met yet become rows (word, position, token); a
 recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost pair of minimum rank until no
 pair merges. Decoding joins the ids with the vocabulary and concatenates the pieces in order of position. A worker remembers the
-words it has encoded, up to a bound after which it starts afresh; that affects speed alone.
+words it has encoded, up to a bound after which it keeps those met more than once; that affects speed alone.
 
 A piece of more than LONG bytes would take one query round per merge, so such pieces are merged with a heap instead,
 by the same rule; no piece is skipped or cut.
@@ -30,7 +30,7 @@ from folioscope.llm.common import id_and_text, slices, table, tokenizer_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Words that a worker remembers.
-MEMORY = 150_000
+MEMORY = 300_000
 #: Bytes of text that are encoded together, and bytes of words that one recursive query takes.
 SLICE, PORTION = 1 << 20, 1 << 18
 
@@ -97,13 +97,26 @@ class DuckBpe:
         pieces = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
         self.db.register("v", pieces)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-        self.forget()
-
-    def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.start, self.count, self.decoded = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.start, self.count, self.used, self.decoded = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         self.ids = np.zeros(0, np.uint32)
 
+    def places(self, own: np.ndarray) -> np.ndarray:
+        """Where the ids of these words lie, one word's after the other's."""
+        counts = self.count[own]
+        return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - self.start[own], counts)
+
+    def forget(self) -> None:
+        """Keep the words met more than once of late, half of MEMORY at most; that affects speed alone."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > MEMORY // 2:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: MEMORY // 2]])
+        words, own = list(self.code), keep.tolist()
+        self.code = {words[i]: k for k, i in enumerate(own)}
+        self.decoded = [self.decoded[i] for i in own]
+        self.ids, self.count, self.used = self.ids[self.places(keep)], self.count[keep], self.used[keep] >> 1
+        self.start = np.cumsum(self.count) - self.count
+
     def heap_merge(self, word: bytes) -> list[int]:
         """The same contraction for a long piece: a heap of (rank, position), neighbours linked."""
         n = len(word)
@@ -175,6 +188,7 @@ class DuckBpe:
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))))
         self.start = np.concatenate((self.start, base + np.cumsum(counts) - counts))
         self.count = np.concatenate((self.count, counts))
+        self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
         n = len(self.code)
         self.code.update(zip(words, range(n, n + len(words)), strict=True))
         self.decoded += plain
@@ -190,13 +204,12 @@ class DuckBpe:
         if len(missing):
             self.learn(list(dict.fromkeys(flat[i] for i in missing.tolist())))
             codes[missing] = [self.code[flat[i]] for i in missing.tolist()]
+        self.used += np.bincount(codes, minlength=len(self.used))
         at = 0
         for words in found:
             own = codes[at : at + len(words)]
             at += len(words)
-            counts = self.count[own]
-            index = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - self.start[own], counts)
-            yield self.ids[index], b"".join(map(self.decoded.__getitem__, own.tolist()))
+            yield self.ids[self.places(own)], b"".join(map(self.decoded.__getitem__, own.tolist()))
 
     def decode(self, lists: list[list[int]]) -> list[bytes]:
         """Bytes of lists of ids, by one ordered aggregation."""

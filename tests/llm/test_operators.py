@@ -426,3 +426,25 @@ def test_pipeline(spark, small):
     last = corpus_pipeline.STAGES[-1][1](spark, at, small).collect()
     same_rows([(r.doc_id, r.n_tokens) for r in last], [(r.doc_id, len(own.encode_ordinary(r.text))) for r in at.collect()])
     assert corpus_pipeline.run(spark, small).count() == len(last)
+
+
+def test_byte_bpe_cache_overflow_and_portions_change_nothing(monkeypatch):
+    """A cache of a few words and queries of a few bytes give tiktoken's ids and the texts' bytes."""
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    from folioscope.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "MEMORY", 12)
+    monkeypatch.setattr(byte_bpe, "PORTION", 40)
+    path, pick = byte_bpe.tokenizer_path(byte_bpe.VOCABULARY), random.Random(5)
+    bpe = byte_bpe.DuckBpe(path, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    words = ["".join(pick.choices("abeinrstéüß", k=pick.randint(2, 14))) for _ in range(30)]
+    for _ in range(12):
+        texts = [" ".join(pick.choices(words, k=pick.randint(0, 9))) for _ in range(4)]
+        for text, (ids, decoded) in zip(texts, bpe.encode(texts), strict=True):
+            assert ids.tolist() == plain.encode_ordinary(text)
+            assert decoded == text.encode()
