@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from folioscope.functions import predicates as P
+from folioscope.functions import similarity as Z
 from folioscope.functions import text as X
 from folioscope.operators import lists as M
 from folioscope.operators import relational as R
@@ -525,3 +526,15 @@ def j18_repository(t):
 def k3_near_miss(t):
     tests = {"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 0, "length": F.col("n_chars") > 500}
     return t("documents").join(t("labels"), "doc_id").select("doc_id", P.near_miss(tests).alias("miss"))
+
+
+# queries that SQL can't express; tests/test_similarity.py holds the scores against brute force
+
+
+def h3_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title's likeness to one title."""
+    part, asked = spark.read.parquet(f"{sf_dir}/part.parquet"), F.lit("small brass widget")
+    return part.select("p_partkey", Z.ratio("p_name", asked).alias("ratio"), Z.token_sort_ratio("p_name", asked).alias("sorted_ratio"))
+
+
+ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {"h3_similarity": h3_similarity}
