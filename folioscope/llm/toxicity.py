@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import id_and_text, kept_on_disk, table
 
 TRAIN_DOCS = 6_000
-VOCABULARY = 400
+VOCABULARY = 1_000
 GRADES = 3
 REJECT = 0.5
 SEED = 42
-#: A word must be typical by this chi-square value and occur in this share of the toxic rows.
-LEAST_CHI2, LEAST_SHARE = 40.0, 0.02
+#: A word must be typical by this chi-square value and occur in so many rows: a count, as a share of all rows would shut out small languages.
+LEAST_CHI2, LEAST_ROWS = 40.0, 5
 STEPS, RATE, L2 = 600, 0.1, 1e-4
 #: Code of the feature that any typical feature occurs; typical ones occur in toxic rows to this share.
 ANY, PURE = -1, 0.9
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     a, b = F.col("a"), F.col("b")
     c, d, total = F.lit(pos) - a, F.lit(neg) - b, F.lit(pos + neg)
     chi2 = total * (a * d - b * c) * (a * d - b * c) / (F.greatest((a + b) * (c + d), F.lit(1.0)) * F.lit(pos * neg))
-    best = seen.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (F.greatest(a / pos, b / neg) >= LEAST_SHARE))
+    best = seen.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (a + b >= LEAST_ROWS))
     chosen = best.orderBy(F.desc("chi2"), "code").limit(VOCABULARY).select("code", "a", "b").collect()
     place = {r["code"]: i for i, r in enumerate(chosen)}
     typical = frozenset(r["code"] for r in chosen if r["a"] >= PURE * (r["a"] + r["b"]))

@@ -372,6 +372,19 @@ def test_toxicity(spark, docs, small):
     assert all(r.severity == 0 for r in none)
 
 
+def test_small_language_keeps_its_typical_words(spark):
+    """Eight toxic rows of one language among 500 toxic rows of another; no word occurs in both languages."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(5100):
+        lang, bad = ("big", i % 10 == 0) if i < 5000 else ("tiny", i % 12 == 0)
+        own = ["".join(chr(97 + d) for d in k) + lang for k in rng.integers(0, 26, (30, 3))]
+        rows.append((i, " ".join(own[:15] + [f"{lang[::-1]}scum"] * bad + own[15:]), int(bad), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    got = toxicity.severity(docs, toxicity.fit(docs, docs.select("doc_id", "toxic"))).withColumnRenamed("toxic", "found").join(docs, "doc_id").collect()
+    for lang in ("big", "tiny"):
+        assert all(r.found == bool(r.toxic) for r in got if r.lang == lang), lang
+
+
 # 10: top-k
 
 
