@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's words form one stream, in an order fixed by hashes and identifiers, packed into blocks of BLOCK words. The
-mix has as many slots as the targets ask for. Its layout is a pseudorandom bijection (a Feistel network) from the numbered
-(source, ordinal) slots to positions; an output shard is a run of positions, so the number of slots that each
+mix has as many slots as the targets ask for. Its layout is a pseudorandom bijection (a Feistel network) of the numbered
+(source, ordinal) slots, whose order gives the positions; an output shard is a run of SHARD_SLOTS positions, so the number of slots that each
 source gets in a shard is a multinomial draw, conditioned on the sources' totals, which therefore come out exactly.
+Which blocks are taken follows from the totals alone; the draw decides their shards and positions, which are part of the results.
 Ordinal j of a source with n blocks stands for block (j mod n) x A + C mod n in its (j div n)-th pass, A prime to n: a
 pseudorandom permutation of its indices. Slots and the documents' pieces of blocks are joined by source and block index.
 
@@ -33,6 +34,8 @@ PASSES = 3
 WEIGHTS = (5, 2, 1)
 #: Rows of one source that a chunk of its stream holds, about; slots that one step lays out.
 CHUNK_ROWS, CHUNK_SLOTS = 20_000, 1 << 16
+#: Ranges of the layout that are numbered apart; a fixed number, as one task adds up their counts.
+RANGES = 1024
 SEED = 42
 WORD = r"[^\x20\x09-\x0D]+"
 #: Multipliers of the index permutations: primes, so one of the two is prime to any n below their product.
@@ -95,15 +98,21 @@ class Mix:
         self.half = max(1, -(-max(1, int(slots - 1).bit_length()) // 2))
 
     def slots(self) -> DataFrame:
-        """A row per slot of the mix: shard, position, ordinal of its source, pass and block index."""
+        """A row per slot of the mix: shard, position (0 to the number of slots), ordinal of its source, pass and block index."""
         runs = self.sources.where("slots > 0").select("ordinal", "blocks", "slots", "first_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS))).alias("run"))
         start = F.col("run") * CHUNK_SLOTS
         spread = runs.repartition("ordinal", "run")
         one = spread.select("ordinal", "blocks", "first_slot", F.explode(F.sequence(start, F.least(start + CHUNK_SLOTS, F.col("slots")) - 1)).alias("j"))
-        position = scattered(F.col("first_slot") + F.col("j"), self.half)
+        place = scattered(F.col("first_slot") + F.col("j"), self.half)
+        one = one.withColumn("place", place).withColumn("range", F.floor(F.col("place") * RANGES / F.lit(4**self.half)))
+        counts = one.groupBy("range").agg(F.count("*").alias("n"))
+        counts = counts.select(F.col("range").alias("of"), (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+        one = one.join(F.broadcast(counts), F.col("range") == F.col("of"))  # RANGES rows at most
+        position = F.col("before") + F.row_number().over(W.partitionBy("range").orderBy("place")) - 1
+        one = one.withColumn("position", position.cast("long"))
         return one.select(
-            F.floor(position / SHARD_SLOTS).alias("shard"),
-            position.alias("position"),
+            F.floor(F.col("position") / SHARD_SLOTS).alias("shard"),
+            "position",
             "ordinal",
             F.floor(F.col("j") / F.col("blocks")).alias("pass"),
             permuted(F.col("j"), F.col("blocks"), F.col("ordinal")).alias("block"),
@@ -130,28 +139,32 @@ class Mix:
         return cut.select("doc_id", "code", "start", "ordinal", "block", (low - F.col("start")).alias("at"), (high - low).alias("words"))
 
     def taken(self) -> DataFrame:
-        """The rows with `taken`, the words of theirs that the mix has."""
+        """The rows with `taken`, the words of theirs that the mix has, `position`, the first slot with any, and `shards`, the words in each shard as "shard:words"."""
         rows = kept_on_disk(self.streams())
-        times = self.slots().groupBy("ordinal", "block").agg(F.count("*").alias("times"))
+        slots = self.slots().select("ordinal", "block", "shard", "position")
         # both sides of these joins grow with the data, so neither may be broadcast
-        drawn = self.pieces(rows).join(times.hint("merge"), ["ordinal", "block"]).groupBy("ordinal", "start", "doc_id", "code").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
-        drawn = drawn.select(F.col("ordinal").alias("o"), F.col("start").alias("s"), "words")
+        row = ("ordinal", "start", "doc_id", "code")
+        drawn = self.pieces(rows).join(slots.hint("merge"), ["ordinal", "block"]).groupBy(*row, "shard").agg(F.sum("words").alias("words"), F.min("position").alias("position"))
+        shards = F.transform(F.sort_array(F.collect_list(F.struct("shard", "words"))), lambda s: F.concat_ws(":", s["shard"].cast("string"), s["words"].cast("string")))
+        drawn = drawn.groupBy(*row).agg(F.sum("words").alias("words"), F.min("position").alias("position"), F.array_join(shards, " ").alias("shards"))
+        drawn = drawn.select(F.col("ordinal").alias("o"), F.col("start").alias("s"), "words", "position", "shards")
         # a row with words is the only one that starts at its place in the stream
         same = (F.col("ordinal") == F.col("o")) & (F.col("start") == F.col("s")) & (F.col("size") > 0)
-        return rows.join(drawn.hint("merge"), same, "left").select("doc_id", "code", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+        return rows.join(drawn.hint("merge"), same, "left").select("doc_id", "code", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "position", F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows of docs: one for each document and pass from which words are taken, with those words as its text.
 
     A document that a pass takes whole keeps its text as it is; else the words taken stand in order, one space between.
+    The rows come in the order of the first position that each has in the mix, so every run of them holds the sources as drawn.
     """
     mix = Mix(docs, id_col, text_col, source_col)
     rows = mix.streams()
-    drawn = mix.pieces(rows).join(mix.slots().select("ordinal", "block", "pass").hint("merge"), ["ordinal", "block"])
-    passes = drawn.groupBy("doc_id", "code", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("cuts"))
+    drawn = mix.pieces(rows).join(mix.slots().select("ordinal", "block", "pass", "position").hint("merge"), ["ordinal", "block"])
+    passes = drawn.groupBy("doc_id", "code", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("cuts"), F.min("position").alias("position"))
     # rows that repeat have pieces of their own; the k-th of them takes the k-th start
-    starts = passes.groupBy("doc_id", "code", "start").agg(F.collect_list(F.struct("pass", "cuts")).alias("passes"))
+    starts = passes.groupBy("doc_id", "code", "start").agg(F.collect_list(F.struct("pass", "cuts", "position")).alias("passes"))
     plan = starts.groupBy("doc_id", "code").agg(F.sort_array(F.collect_list(F.struct("start", "passes"))).alias("turns"))
     plan = plan.select(F.col("doc_id").alias("of_id"), F.col("code").alias("of_code"), "turns")
     names = docs.columns
@@ -168,8 +181,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # equal shares of a document in one pass never overlap: a pass takes a block once
     part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("one.cuts", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["words"].cast("int")))), " ")), 1)
     mixed = F.when(whole, text).otherwise(part).alias(c[text_col])
-    return wide.select(*(mixed if n == text_col else c[n] for n in names)).toDF(*names)
+    rows = wide.select(*(mixed if n == text_col else c[n] for n in names), F.col("one.position").alias("position of the row"))
+    return rows.orderBy("position of the row").drop("position of the row").toDF(*names)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "position", "shards")

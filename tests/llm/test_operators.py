@@ -282,6 +282,34 @@ def test_permutations(spark):
     assert sorted(r.p for r in rows) == list(range(1 << 12))
 
 
+def test_shard_draw_reaches_the_results(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    mix = mixing.Mix(table)
+    slots, sources = mix.slots().collect(), {r.ordinal: r for r in mix.sources.collect()}
+    n = len(slots)
+    assert sorted(r.position for r in slots) == list(range(n)) and all(r.shard == r.position // 16 for r in slots)
+    counts = Counter((r.shard, r.ordinal) for r in slots)
+    for o, s in sources.items():
+        own = [counts[k, o] for k in range(n // 16)]
+        share = s.slots / n
+        assert sum(r.ordinal == o for r in slots) == s.slots
+        # within a wide band around the variance of a multinomial draw: neither even counts nor one source after the other
+        assert share < 0.1 or 0.4 < np.var(own) / (16 * share * (1 - share)) < 1.8
+    shards = Counter()
+    for r in mixing.op7_mixing(spark, small).collect():
+        own = [tuple(map(int, p.split(":"))) for p in r.shards.split()]
+        assert sum(w for _, w in own) == r.taken and (r.position is None) == (not own)
+        assert not own or own[0][0] == r.position // 16
+        shards.update(dict(own))
+    full = Counter(r.shard for r in slots)
+    assert set(shards) == set(full) and all(shards[k] > (v - 3 * len(sources)) * mixing.BLOCK and shards[k] <= v * mixing.BLOCK for k, v in full.items())
+    first = {(r.source, r.doc_id): r.position for r in mix.taken().collect()}
+    at = [r.source for r in mixing.mix_documents(table).collect()]
+    assert sum(a != b for a, b in zip(at, at[1:], strict=False)) > len(at) / 4
+    assert min(first.items(), key=lambda kv: (kv[1] is None, kv[1]))[0][0] == at[0]
+
+
 # 8: SimHash
 
 
