@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.storagelevel import StorageLevel
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -12,6 +13,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def ranked(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """All rows with their number from 1 in the order given: counts of range partitions, then numbers inside each, so no task sorts everything."""
+    rows = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_rows"))
+    # a row per partition
+    before = counts.select(F.col("_part").alias("_of"), (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    numbered = numbered.join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    return numbered.withColumn(name, F.col("_before") + F.col("_n")).drop("_part", "_of", "_before", "_n")
+
+
 def tally(edges: DataFrame, key: str, name: str = "lib_cites") -> DataFrame:
     """Rows per key; every occurrence counts."""
     return edges.groupBy(key).agg(F.count("*").alias(name))

@@ -193,6 +193,11 @@ def e1_ranked(t):
     return top.select("p_partkey", F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("n"))
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS n FROM part")
+def e1_ranked_all(t):
+    return R.ranked(t("part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.asc("p_partkey")]).select("p_partkey", "n")
+
+
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS anchor FROM events")
 def e3_carry_forward(t):
     return t("events").select("event_id", R.carry_forward(F.when(F.col("event_type") == "purchase", F.col("event_id")), ["user_id"], ["ts", "event_id"]).alias("anchor"))
