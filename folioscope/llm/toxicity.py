@@ -6,7 +6,7 @@ output is the expected severity, the sum over k of P(grade > k); a document is t
 Fitting uses a bounded sample of labelled rows (TRAIN_DOCS, in expectation, by a hash of the identifier). Labels say toxic
 or not; the grade of a toxic row is 1 to GRADES by how many words typical of toxic rows it has (the sum of their log counts),
 cut at the sample's quantiles. Features are the log counts of the VOCABULARY words and word stems most associated with the label, and whether any typical one occurs, where copies and near copies
-(rows with the same minimum hash of word pairs) count once. Prediction reads every text whole.
+(rows with the same SKETCH minimum hashes of word pairs) count once. Prediction reads every text whole.
 
 Defined results: null and empty texts have no features and get the base rate's severity; null labels are ignored and of several
 labels of a document the most severe counts; without both labels in the sample every severity is 0; an empty table
@@ -15,6 +15,7 @@ gives an empty result; rows that repeat are scored alike. Filtering passes all c
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ LEAST_CHI2, LEAST_ROWS = 40.0, 5
 STEPS, RATE, L2 = 600, 0.1, 1e-4
 #: Code of the feature that any typical feature occurs; typical ones occur in toxic rows to this share.
 ANY, PURE = -1, 0.9
+#: Hashes of word pairs that rows share to count once.
+SKETCH = 4
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
 #: Words that a task remembers.
@@ -50,10 +53,12 @@ def words_of(text: bytes | None) -> list[str]:
 
 
 def signature(words: list[str]) -> int:
-    """Minimum hash of the word pairs, which copies share and near copies nearly always."""
+    """Hash of the SKETCH smallest hashes of word pairs, which copies share and near copies mostly; other documents share one at times, hardly all."""
     if not words:
         return 0
-    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 2]), SEED) for i in range(max(1, len(words) - 1))) >> 1
+    pairs = {" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))}
+    least = heapq.nsmallest(SKETCH, (xxhash.xxh64_intdigest(p, SEED) for p in pairs))
+    return xxhash.xxh64_intdigest(np.array(least, "<u8").tobytes(), SEED) >> 1
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

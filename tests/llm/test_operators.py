@@ -413,6 +413,18 @@ def test_small_language_keeps_its_typical_words(spark):
         assert all(r.found == bool(r.toxic) for r in got if r.lang == lang), lang
 
 
+def test_only_copies_share_a_signature():
+    """Documents that share some pairs stay apart, copies and most near copies don't."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i} d{i}" for i in range(40)]
+    texts = [" ".join(common[k] for k in rng.permutation(40)[:20]) + " " + " ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(200)]
+    own = [toxicity.signature(toxicity.words_of(re.sub(r"\d", lambda m: chr(97 + int(m[0])), t).encode())) for t in texts]
+    assert len(set(own)) > 190
+    long = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x" for k in rng.integers(0, 676, 400)]
+    near = [toxicity.signature([*long[:i], "changed", *long[i + 1 :]]) for i in range(400)]
+    assert toxicity.signature(long.copy()) == toxicity.signature(long) and np.mean([s == toxicity.signature(long) for s in near]) > 0.9
+
+
 # 10: top-k
 
 
