@@ -82,6 +82,7 @@ class DuckBpe:
         import regex
 
         self.ranks = read_ranks(path)
+        self.token = {i: t for t, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
@@ -161,7 +162,7 @@ class DuckBpe:
         """Encode words not met before and remember them."""
         data = [w.encode("utf-8", "surrogatepass") for w in words]
         ids: list = [None] * len(data)
-        plain: list[bytes] = data.copy()
+        plain: list[bytes] = [b""] * len(data)
         merge = []
         for i, d in enumerate(data):
             if (whole := self.ranks.get(d)) is not None:
@@ -170,6 +171,8 @@ class DuckBpe:
                 ids[i] = self.heap_merge(d)
             else:
                 merge.append(i)
+                continue
+            plain[i] = b"".join(map(self.token.__getitem__, ids[i]))
         for own in self.portions(merge, data):
             sizes = np.fromiter((len(data[i]) for i in own), np.int64, len(own))
             flat = np.frombuffer(b"".join(data[i] for i in own), np.uint8)

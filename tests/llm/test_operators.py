@@ -218,6 +218,24 @@ def test_bpe_recursion_alone(monkeypatch):
     assert [ids.tolist() for ids, _ in bpe.encode(texts)] == [own.encode_ordinary(t) for t in texts]
 
 
+def test_bytes_come_from_the_ids(spark, docs):
+    """A wrong id shows in the decoded bytes, for words of one token and long pieces too."""
+    bpe = byte_bpe.DuckBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    wrong = bpe.ranks[b" of"]
+    bpe.ranks[b"the"] = wrong
+    [(ids, decoded)] = bpe.encode(["the"])
+    assert ids.tolist() == [wrong] and decoded == b" of"
+    bpe.heap_merge = lambda word: [wrong, wrong]
+    assert [d for _, d in bpe.encode(["x" * 300])] == [b" of of"]
+
+
+def test_pipeline_ends_with_ids(spark, docs):
+    import corpus_pipeline
+
+    last = corpus_pipeline.byte_bpe(spark, docs, "")
+    assert all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in last.collect())
+
+
 # 7: mixing
 
 
