@@ -2,11 +2,14 @@
 
 Texts are cut by the tokenizer's pattern. Words that a partition has not met yet become rows (word, position, token); a
 recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost pair of minimum rank until no
-pair merges. Decoding joins the ids with the vocabulary and concatenates the pieces in order of position. A worker remembers the
-words it has encoded, up to a bound after which it keeps those met more than once; that affects speed alone.
+pair merges. Decoding joins every document's ids with the vocabulary and concatenates the pieces in order of position; no byte
+of the input reaches the decoded bytes. A worker remembers the ids of the words it has encoded, up to a bound after which it
+keeps those met more than once; that affects speed alone.
 
-A piece of more than LONG bytes would take one query round per merge, so such pieces are merged with a heap instead,
-by the same rule; no piece is skipped or cut.
+One contraction a round makes rounds as many as a piece has merges. Pieces of more than LONG bytes therefore go through a
+second recursive query that contracts all occurrences of the minimum rank in one round, from the left, without overlaps, wherever
+that is what contracting them one after the other gives: no pair that arises on the way has a lower rank. Where
+one has, the round contracts the leftmost alone.
 
 Defined results: null counts as empty, which has no ids; an empty table gives an empty result; rows that repeat are
 encoded alike; texts are read whole; strings that look like special tokens are ordinary text; of the input's columns
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -28,13 +31,16 @@ from pyspark.sql import DataFrame
 from folioscope.llm.common import id_and_text, slices, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Bytes of a piece from which on a round contracts all occurrences of the minimum rank.
 LONG = 256
 #: Words that a worker remembers.
-MEMORY = 300_000
+MEMORY = 360_000
 #: Bytes of text that are encoded together, and bytes of words that one recursive query takes.
 SLICE, PORTION = 1 << 20, 1 << 18
+#: DuckDB's memory, and what a byte of an oversized piece adds to it.
+DUCK_BYTES, PIECE_BYTES = 150 << 20, 600
 
-#: Rows are (word << 20) + position and token. A round looks up each neighbouring pair in the merge table and contracts the
+#: Rows are (word << 32) + position and token. A round looks up each neighbouring pair in the merge table and contracts the
 #: leftmost pair of minimum rank of each word; words without one are final and leave the recursion.
 ENCODE = """
 CREATE OR REPLACE TEMP TABLE done AS
@@ -42,32 +48,71 @@ WITH RECURSIVE step AS (
   SELECT false AS final, k, id FROM start
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT s.k, s.id, s.before, s.k >> 20 AS word, m.merged
+     SELECT s.k, s.id, s.before, s.k >> 32 AS word, m.merged
      FROM (SELECT k, id, lead(id) OVER w AS next_id, lead(k) OVER w AS next_k, lag(k) OVER w AS before
            FROM step WHERE NOT final WINDOW w AS (ORDER BY k)) s
-     LEFT JOIN merges m ON m.pair = CASE WHEN s.next_k >> 20 = s.k >> 20 THEN (s.id << 20) + s.next_id END
+     LEFT JOIN merges m ON m.pair = CASE WHEN s.next_k >> 32 = s.k >> 32 THEN (s.id << 20) + s.next_id END
    ), least AS (
-     SELECT word, min((merged << 20) + (k & 1048575)) AS best FROM pairs WHERE merged IS NOT NULL GROUP BY word
+     SELECT word, min((merged << 32) + (k & 4294967295)) AS best FROM pairs WHERE merged IS NOT NULL GROUP BY word
    )
-   SELECT best IS NULL, p.k, CASE WHEN p.k & 1048575 = best & 1048575 THEN best >> 20 ELSE p.id END
+   SELECT best IS NULL, p.k, CASE WHEN p.k & 4294967295 = best & 4294967295 THEN best >> 32 ELSE p.id END
    FROM pairs p LEFT JOIN least l ON p.word = l.word
-   WHERE best IS NULL OR before IS NULL OR before <> (p.word << 20) + (best & 1048575))
+   WHERE best IS NULL OR before IS NULL OR before <> (p.word << 32) + (best & 4294967295))
 )
 SELECT k, id FROM step WHERE final
 """
 
-ENCODED = "SELECT k, id FROM done ORDER BY k"
-
-DECODED = """
-SELECT string_agg(piece, '' ORDER BY k) AS decoded
-FROM done JOIN vocabulary USING (id) GROUP BY k >> 20 ORDER BY k >> 20
+#: The same fixpoint for long pieces. `hits` are the occurrences of a word's minimum rank, every second one of a run that overlaps;
+#: `early` are the words where contracting a hit makes a pair of lower rank with the token left of it (as contracted)
+#: or right of it (not contracted yet), so that only the leftmost hit may go.
+ENCODE_LONG = """
+CREATE OR REPLACE TEMP TABLE done AS
+WITH RECURSIVE step AS (
+  SELECT false AS final, k, id FROM start
+  UNION ALL
+  (WITH pairs AS MATERIALIZED (
+     SELECT s.*, s.k >> 32 AS word, m.merged
+     FROM (SELECT k, id, row_number() OVER w AS place, lead(id) OVER w AS next_id, lead(k) OVER w AS next_k, lag(id) OVER w AS before_id, lag(k) OVER w AS before,
+                  lead(id, 2) OVER w AS far_id, lead(k, 2) OVER w AS far_k
+           FROM step WHERE NOT final WINDOW w AS (ORDER BY k)) s
+     LEFT JOIN merges m ON m.pair = CASE WHEN s.next_k >> 32 = s.k >> 32 THEN (s.id << 20) + s.next_id END
+   ), least AS MATERIALIZED (
+     SELECT word, min(merged) AS best FROM pairs WHERE merged IS NOT NULL GROUP BY word
+   ), runs AS (
+     SELECT p.*, best, place - row_number() OVER (ORDER BY k) AS run FROM pairs p JOIN least l ON p.word = l.word AND p.merged = l.best
+   ), hits AS MATERIALIZED (
+     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k) AS turn FROM runs) WHERE turn % 2 = 1
+   ), early AS (
+     SELECT DISTINCT h.word
+     FROM hits h LEFT JOIN hits g ON g.next_k = h.before AND g.word = h.word
+     LEFT JOIN merges a ON a.pair = CASE WHEN h.before >> 32 = h.word THEN (CASE WHEN g.k IS NULL THEN h.before_id ELSE h.best END << 20) + h.best END
+     LEFT JOIN merges b ON b.pair = CASE WHEN h.far_k >> 32 = h.word THEN (h.best << 20) + h.far_id END
+     WHERE a.merged < h.best OR b.merged < h.best
+   ), chosen AS MATERIALIZED (
+     SELECT k, next_k, best FROM hits WHERE word NOT IN (SELECT word FROM early)
+     UNION ALL SELECT min(k), min_by(next_k, k), min(best) FROM hits WHERE word IN (SELECT word FROM early) GROUP BY word
+   )
+   SELECT l.best IS NULL, p.k, coalesce(c.best, p.id)
+   FROM pairs p LEFT JOIN least l ON p.word = l.word LEFT JOIN chosen c ON c.k = p.k LEFT JOIN chosen d ON d.next_k = p.k
+   WHERE d.k IS NULL)
+)
+SELECT k, id FROM step WHERE final
 """
 
+ENCODED = "SELECT k, id FROM done ORDER BY k"
+
+#: The aggregation takes its rows in the subquery's order, as the database has one thread; sorting inside it costs twice as much.
 DECODE = """
-SELECT doc, string_agg(piece, '' ORDER BY pos) AS decoded
-FROM ids LEFT JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
+SELECT doc, string_agg(piece, '') AS decoded
+FROM (SELECT doc, piece FROM ids JOIN vocabulary USING (id) ORDER BY pos) GROUP BY doc
 """
 
+#: What the installed pattern finds in texts whose characters beyond ASCII are letters of the Latin blocks, for the built-in engine.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+OWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_find_latin = re.compile(OWN_PATTERN.replace(r"\p{L}+", f"[{LATIN}]+", 1).replace(r"\p{N}+", "[0-9]+", 1).replace(r"\p{L}", LATIN).replace(r"\p{N}", "0-9")).findall
+_beyond_latin = re.compile(f"[^\x00-\x1b\x20-\x7f{LATIN}]").search
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -82,10 +127,9 @@ class DuckBpe:
         import regex
 
         self.ranks = read_ranks(path)
-        self.token = {i: t for t, i in self.ranks.items()}
-        self.find = regex.compile(pattern).findall
+        self.find_any, self.latin = regex.compile(pattern).findall, pattern == OWN_PATTERN
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{DUCK_BYTES}B", "temp_directory": ""})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -95,13 +139,17 @@ class DuckBpe:
                     merged.append(rank)
         self.db.register("m", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        pieces = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
+        pieces = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
         self.db.register("v", pieces)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.code: dict[str, int] = {}
-        self.start, self.count, self.used, self.decoded = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.start, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def find(self, text: str) -> list[str]:
+        """The pattern's matches; both engines find the same where the text has only ASCII and Latin letters."""
+        return (self.find_any if not self.latin or _beyond_latin(text) else _find_latin)(text)
+
     def places(self, own: np.ndarray) -> np.ndarray:
         """Where the ids of these words lie, one word's after the other's."""
         counts = self.count[own]
@@ -114,78 +162,56 @@ class DuckBpe:
             keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: MEMORY // 2]])
         words, own = list(self.code), keep.tolist()
         self.code = {words[i]: k for k, i in enumerate(own)}
-        self.decoded = [self.decoded[i] for i in own]
         self.ids, self.count, self.used = self.ids[self.places(keep)], self.count[keep], self.used[keep] >> 1
         self.start = np.cumsum(self.count) - self.count
 
-    def heap_merge(self, word: bytes) -> list[int]:
-        """The same contraction for a long piece: a heap of (rank, position), neighbours linked."""
-        n = len(word)
-        ids, nxt, prev = [int(self.byte_id[b]) for b in word], [*range(1, n), -1], [*range(-1, n - 1)]
-        token = [word[i : i + 1] for i in range(n)]
-        heap: list = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and nxt[i] >= 0 and (rank := self.ranks.get(token[i] + token[nxt[i]])) is not None:
-                heapq.heappush(heap, (rank, i, token[i], token[nxt[i]]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            if token[i] != a or nxt[i] < 0 or token[nxt[i]] != b:
-                continue
-            j = nxt[i]
-            token[i], ids[i], nxt[i], token[j] = a + b, rank, nxt[j], b""
-            if nxt[i] >= 0:
-                prev[nxt[i]] = i
-            nxt[j] = -1
-            offer(i)
-            offer(prev[i])
-        return [ids[i] for i in range(n) if token[i]]
-
     @staticmethod
-    def portions(merge: list[int], data: list[bytes]) -> Iterator[list[int]]:
+    def portions(data: list[bytes]) -> Iterator[list[bytes]]:
         """Consecutive words of about PORTION bytes, so that a query's tables stay small whatever the text."""
-        own: list[int] = []
+        own: list[bytes] = []
         total = 0
-        for i in merge:
-            own.append(i)
-            total += len(data[i])
+        for d in data:
+            if own and total + len(d) > 2 * PORTION:
+                yield own
+                own, total = [], 0
+            own.append(d)
+            total += len(d)
             if total >= PORTION:
                 yield own
                 own, total = [], 0
         if own:
             yield own
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words not met before and remember them."""
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
-        ids: list = [None] * len(data)
-        plain: list[bytes] = [b""] * len(data)
-        merge = []
-        for i, d in enumerate(data):
-            if (whole := self.ranks.get(d)) is not None:
-                ids[i] = [whole]
-            elif len(d) > LONG:
-                ids[i] = self.heap_merge(d)
-            else:
-                merge.append(i)
-                continue
-            plain[i] = b"".join(map(self.token.__getitem__, ids[i]))
-        for own in self.portions(merge, data):
-            sizes = np.fromiter((len(data[i]) for i in own), np.int64, len(own))
-            flat = np.frombuffer(b"".join(data[i] for i in own), np.uint8)
+    def contract(self, data: list[bytes], query: str) -> list[list[int]]:
+        """Ids of words, by a recursive query for each portion of them."""
+        ids: list[list[int]] = []
+        for own in self.portions(data):
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.frombuffer(b"".join(own), np.uint8)
             word = np.repeat(np.arange(len(own)), sizes)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("start", pa.table({"k": (word << 20) + pos, "id": self.byte_id[flat]}))
-            self.db.execute(ENCODE)
+            more = max(0, len(flat) - 2 * PORTION) * PIECE_BYTES
+            if more:  # one oversized piece
+                self.db.execute(f"SET memory_limit = '{DUCK_BYTES + more}B'")
+            self.db.register("start", pa.table({"k": (word << 32) + pos, "id": self.byte_id[flat]}))
+            self.db.execute(query)
             self.db.unregister("start")
             got = self.db.execute(ENCODED).fetchnumpy()
-            ends = np.searchsorted(got["k"] >> 20, np.arange(len(own)), side="right").tolist()
-            tokens, texts = got["id"].tolist(), self.db.execute(DECODED).fetchall()
-            for i, first, end, (text,) in zip(own, [0, *ends], ends, texts, strict=False):
-                ids[i], plain[i] = tokens[first:end], text.encode("latin-1")
+            if more:
+                self.db.execute("DROP TABLE done")
+                self.db.execute(f"SET memory_limit = '{DUCK_BYTES}B'")
+            ends = np.searchsorted(got["k"] >> 32, np.arange(len(own)), side="right").tolist()
+            tokens = got["id"].tolist()
+            ids += [tokens[first:end] for first, end in zip([0, *ends], ends, strict=False)]
+        return ids
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words not met before and remember them."""
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        ids: list = [[whole] if (whole := self.ranks.get(d)) is not None else None for d in data]
+        for query, own in ((ENCODE, [i for i, d in enumerate(data) if ids[i] is None and len(d) <= LONG]), (ENCODE_LONG, [i for i, d in enumerate(data) if ids[i] is None and len(d) > LONG])):
+            for i, found in zip(own, self.contract([data[i] for i in own], query), strict=True):
+                ids[i] = found
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.ids)
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))))
@@ -194,10 +220,9 @@ class DuckBpe:
         self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
         n = len(self.code)
         self.code.update(zip(words, range(n, n + len(words)), strict=True))
-        self.decoded += plain
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
-        """For each text its ids (uint32) and the bytes that they decode to."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids (uint32) of each text."""
         if len(self.code) > MEMORY:
             self.forget()
         found = [self.find(t) for t in texts]
@@ -208,22 +233,30 @@ class DuckBpe:
             self.learn(list(dict.fromkeys(flat[i] for i in missing.tolist())))
             codes[missing] = [self.code[flat[i]] for i in missing.tolist()]
         self.used += np.bincount(codes, minlength=len(self.used))
-        at = 0
-        for words in found:
-            own = codes[at : at + len(words)]
-            at += len(words)
-            yield self.ids[self.places(own)], b"".join(map(self.decoded.__getitem__, own.tolist()))
-
-    def decode(self, lists: list[list[int]]) -> list[bytes]:
-        """Bytes of lists of ids, by one ordered aggregation."""
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        doc = np.repeat(np.arange(len(lists)), counts)
-        pos = np.arange(len(doc))
-        self.db.register("ids", pa.table({"doc": doc, "pos": pos, "id": np.fromiter(chain.from_iterable(lists), np.int64, len(doc))}))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return [self.ids[self.places(codes[a:b])] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def decode(self, lists: list[np.ndarray]) -> list[bytes]:
+        """Bytes of lists of ids, by one ordered aggregation for about SLICE ids."""
         out = [b""] * len(lists)
-        for i, text in self.db.execute(DECODE).fetchall():
-            out[i] = text.encode("latin-1")
-        self.db.unregister("ids")
+        first = 0
+        while first < len(lists):
+            end, n = first, 0
+            while end < len(lists) and (n == 0 or n + len(lists[end]) <= SLICE):
+                n += len(lists[end])
+                end += 1
+            counts = np.fromiter(map(len, lists[first:end]), np.int64, end - first)
+            ids = np.concatenate(lists[first:end]).astype(np.int32)
+            more = max(0, n - SLICE) * PIECE_BYTES // 4
+            if more:
+                self.db.execute(f"SET memory_limit = '{DUCK_BYTES + more}B'")
+            self.db.register("ids", pa.table({"doc": np.repeat(np.arange(first, end, dtype=np.int32), counts), "pos": np.arange(n, dtype=np.int32), "id": ids}))
+            for i, text in self.db.execute(DECODE).fetchall():
+                out[i] = text.encode("latin-1")
+            self.db.unregister("ids")
+            if more:
+                self.db.execute(f"SET memory_limit = '{DUCK_BYTES}B'")
+            first = end
         return out
 
 
@@ -251,13 +284,11 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 texts = [(t.as_py() or b"").decode("utf-8", "replace") for t in part.column("text")]
-                data, n, sha, back = [], [], [], []
-                for ids, decoded in bpe.encode(texts):
-                    raw = ids.astype("<u4").tobytes()
-                    data.append(raw if with_ids else None)
-                    n.append(len(ids))
-                    sha.append(hashlib.sha256(raw).hexdigest())
-                    back.append(hashlib.sha256(decoded).hexdigest())
+                ids = bpe.encode(texts)
+                del texts
+                raw = [i.astype("<u4").tobytes() for i in ids]
+                data, n = raw if with_ids else [None] * len(raw), [len(i) for i in ids]
+                sha, back = ([hashlib.sha256(x).hexdigest() for x in many] for many in (raw, bpe.decode(ids)))
                 arrays = [part.column("doc_id"), pa.array(data, pa.binary()), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -274,7 +305,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None, id_col:
         bpe = worker_bpe(path, pattern)
         for batch in batches:
             for part in slices(batch):
-                lists = [np.frombuffer(t.as_py() or b"", "<u4").tolist() for t in part.column("text")]
+                lists = [np.frombuffer(t.as_py() or b"", "<u4") for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bpe.decode(lists), pa.binary())], names=["doc_id", "text"])
 
     return id_and_text(encoded, id_col, ids_col).mapInArrow(run, "doc_id long, text binary")
