@@ -8,26 +8,33 @@ Boundaries (n + 1 ascending offsets) and identifiers (less the smallest) are Eli
 packed, the high parts as a unary bit string, plus the place of every SAMPLE-th one for select. Value i is
 ((select(i) - i) << low_bits) | low(i): about 2 + log2(universe / n) bits a document rather than a table of 64-bit offsets.
 
-Documents are encoded where they lie. Ranges of identifiers, cut at quantiles, are the files: each id list goes to the
-task of its range, sorted by identifier, and is appended to that file as it comes. A file is written under a name of
-its task attempt and renamed when whole, so a lost executor leaves nothing half-written under a final name.
-
-Defined results: null text counts as empty; each document ends with END_ID, so an empty one has one id; rows that repeat an
-identifier follow one another ordered by their ids; an empty table gives no files and an empty result; texts are whole; only
+Documents are encoded where they lie. Files are ranges of (identifier, hash of the text), cut at quantiles of a bounded sample
+(CUT_ROWS rows a file, MOST_FILES files), so one identifier's rows, or those without one, can fill many files; rows equal in
+both fall on all the files that their key ends or begins. Each id list goes to the task of its file, sorted, and is appended
+as it comes. A file is written under a name of its task attempt and renamed when whole, so a lost executor leaves nothing
+half-written under a final name. What the driver holds is bounded by MOST_FILES.
+
+Defined results: null text counts as empty; each document ends with END_ID, so an empty one has one id; the strings of the
+vocabulary's special tokens become these tokens, as the library does by itself; rows that repeat an
+identifier follow one another in an order fixed by their texts; an empty table gives no files and an empty result; texts are whole; only
 identifier and text are read.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +44,15 @@ from folioscope.llm.common import id_and_text, new_folder, partitions, scaled, s
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
+SEED = 42
 MAGIC = b"EFTOKEN1"
 SAMPLE = 512
-#: Documents in a file, about.
-FILE_DOCS = 20_000
-#: Words that a worker remembers.
-MEMORY = 500_000
+#: Documents in a file, about, unless that makes more than MOST_FILES; sampled rows a file that set the cuts.
+FILE_DOCS, MOST_FILES, CUT_ROWS = 20_000, 100_000, 48
+#: Words that a worker remembers, and words that are encoded together.
+MEMORY, TOGETHER = 500_000, 2048
+#: Values whose low bits are packed together: a multiple of 8.
+PACK = 1 << 16
 
 
 class EliasFano:
@@ -59,11 +69,12 @@ class EliasFano:
         n = len(v)
         top = int(v[-1]) if n else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = np.packbits(((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if bits else np.zeros(0, np.uint8)
+        places = np.arange(bits, dtype=np.uint64)
+        low = [np.packbits(((v[at : at + PACK, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes() for at in range(0, n if bits else 0, PACK)]
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(ones[-1]) + 1) if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, bits, low.tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8").tobytes())
+        return cls(n, bits, b"".join(low), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8").tobytes())
 
     def select(self, i: int) -> int:
         """Place of the i-th one of the high bits, from the sample before it."""
@@ -107,36 +118,50 @@ class EliasFano:
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
-    This vocabulary's normaliser and pre-tokenizer drop white space and never look across it, so a text's ids are those of
-    its parts between ASCII white space, one after the other.
+    This vocabulary's normaliser and pre-tokenizer drop white space and never look across it, and its special tokens hold
+    none, so a text's ids are those of its parts between ASCII white space, one after the other. For words in ASCII
+    the normaliser only lowers letters; a tokenizer without it takes them, lowered, special tokens apart.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.forget()
-
-    def forget(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, f"<u{self.width}")
 
+    def places(self, own: np.ndarray) -> np.ndarray:
+        """Where the ids of these words lie, one word's after the other's."""
+        counts = self.count[own]
+        return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - self.start[own], counts)
+
+    def forget(self) -> None:
+        """Keep the words met more than once of late, half of MEMORY at most; that affects speed alone."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > MEMORY // 2:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: MEMORY // 2]])
+        words = list(self.code)
+        self.code = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.ids, self.count, self.used = self.ids[self.places(keep)], self.count[keep], self.used[keep] >> 1
+        self.start = np.cumsum(self.count) - self.count
+
     def learn(self, words: list[bytes]) -> None:
-        """Encode words not met before and remember them, those in ASCII many at a time."""
-        plain = [w for w in words if w.isascii()]
-        others = [w for w in words if not w.isascii()]
-        ids, counts = [], []
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            got = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            # in ASCII the normaliser moves nothing, so a token's offset tells its word
-            word = np.searchsorted(np.cumsum(sizes), np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids)), side="right")
+        """Encode words not met before and remember them, those in plain ASCII many at a time."""
+        plain, others, ids, counts = [], [], [], []
+        for w in words:
+            (plain if w.isascii() else others).append(w)
+        if any(s in b" ".join(plain).lower() for s in self.special):
+            apart = {w for w in plain if any(s in w.lower() for s in self.special)}
+            plain, others = [w for w in plain if w not in apart], [*others, *apart]
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            got = self.plain.encode(b" ".join(part).lower().decode().split(" "), is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(got.ids, self.ids.dtype))
-            counts.append(np.bincount(word, minlength=len(part)))
+            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
         single = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)]
         counts.append(np.fromiter(map(len, single), np.int64, len(single)))
         ids.append(np.fromiter(chain.from_iterable(single), self.ids.dtype, int(counts[-1].sum())))
@@ -144,25 +169,29 @@ class WordEncoder:
         self.ids = np.concatenate((self.ids, *ids))
         self.start = np.concatenate((self.start, base + np.cumsum(own) - own))
         self.count = np.concatenate((self.count, own))
+        self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
         self.code.update(zip(chain(plain, others), range(n, n + len(words)), strict=True))
 
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Each text's ids with the end id, as bytes, from binary texts."""
         if len(self.code) > MEMORY:
             self.forget()
-        found = [t.split() for t in texts]
-        flat = list(chain.from_iterable(found))
-        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        distinct = words.flatten().dictionary_encode()
+        known = distinct.dictionary.view(pa.binary()).to_pylist()
+        codes = np.fromiter(map(self.code.get, known, repeat(-1)), np.int64, len(known))
         missing = np.flatnonzero(codes < 0)
         if len(missing):
-            self.learn(list(dict.fromkeys(flat[i] for i in missing.tolist())))
-            codes[missing] = [self.code[flat[i]] for i in missing.tolist()]
-        at = 0
-        for words in found:
-            own = codes[at : at + len(words)]
-            at += len(words)
-            counts = self.count[own]
-            index = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - self.start[own], counts)
-            yield np.append(self.ids[index], self.ids.dtype.type(END_ID))
+            self.learn([known[i] for i in missing.tolist()])
+            codes[missing] = [self.code[known[i]] for i in missing.tolist()]
+        own = codes[distinct.indices.to_numpy()]
+        self.used += np.bincount(own, minlength=len(self.used))
+        upto = np.concatenate(([0], np.cumsum(self.count[own])))
+        doc = upto[np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))]
+        out = np.full(int(upto[-1]) + len(texts), END_ID, self.ids.dtype)
+        out[np.arange(int(upto[-1])) + np.repeat(np.arange(len(texts)), np.diff(doc))] = self.ids[self.places(own)]
+        ends = ((doc + np.arange(len(doc))) * self.width).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.binary())
 
 
 _WORKER: dict[str, WordEncoder] = {}
@@ -170,8 +199,6 @@ _WORKER: dict[str, WordEncoder] = {}
 
 def worker_encoder(path: str) -> WordEncoder:
     if path not in _WORKER:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _WORKER.clear()
         _WORKER[path] = WordEncoder(path)
@@ -210,22 +237,30 @@ def _open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write the files; the manifest, a dict per file: path, n_docs, n_tokens, start (ids in the files before it)."""
     spark, path = docs.sparkSession, vocabulary or tokenizer_path(VOCABULARY)
-    rows = id_and_text(docs, id_col, text_col)
+    rows = id_and_text(docs, id_col, text_col).withColumn("code", F.xxhash64("text"))
     n = rows.select("doc_id").count()
-    files = scaled(n, FILE_DOCS, 1 if n < 2 else min(partitions(spark), n))
-    places = [i / files for i in range(1, files)]
-    cuts = rows.agg(F.percentile_approx("doc_id", places, 10 * files)).first()[0] if places else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    files = min(MOST_FILES, scaled(n, FILE_DOCS, 1 if n < 2 else min(partitions(spark), n)))
+    cuts: list[tuple] = []
+    if files > 1:  # at most MOST_FILES x CUT_ROWS rows of three numbers, in expectation
+        some = rows.where(F.rand(SEED) < files * CUT_ROWS / n).select(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "code").toArrow()
+        keys = [some.column(c).to_numpy() for c in ("named", "doc_id", "code")]
+        order = np.lexsort(keys[::-1])
+        order = order[[len(order) * i // files for i in range(1, files)]] if len(order) else order
+        cuts = list(zip(*(k[order].tolist() for k in keys), strict=True))
+    shared = spark.sparkContext.broadcast(cuts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path)
+        encoder, own_cuts, turn = worker_encoder(path), shared.value, 0
         for batch in batches:
             for part in slices(batch):
-                texts = [t.as_py() or b"" for t in part.column("text")]
-                ids = pa.array([x.tobytes() for x in encoder.encode(texts)], pa.binary())
-                own = part.column("doc_id")
-                file = np.searchsorted(cuts, own.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), own, ids], names=["file", "doc_id", "ids"])
+                ids = encoder.encode(part.column("text"))
+                own, codes, file = part.column("doc_id"), part.column("code"), []
+                for doc_id, code in zip(own.to_pylist(), codes.to_pylist(), strict=True):
+                    key = (doc_id is not None, doc_id or 0, code)
+                    low, high = bisect_left(own_cuts, key), bisect_right(own_cuts, key)
+                    file.append(low + turn % (high - low + 1))  # rows equal in both keys hold the same ids
+                    turn += high > low
+                yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), own, codes, ids], names=["file", "doc_id", "code", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder_width = worker_encoder(path).width
@@ -252,7 +287,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
                     if out is not None:
                         close()
                     temp = f"{root}/.{file}-{uuid.uuid4().hex}"
-                    state = {"file": file, "temp": temp, "bounds": [0], "ids": [], "null": 0}
+                    state = {"file": file, "temp": temp, "bounds": array("q", [0]), "ids": array("q"), "null": 0}
                     out = fs.open_output_stream(temp)
                     out.write(MAGIC)
                 raw = ids.as_py()
@@ -269,9 +304,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
     fs, root = _open_folder(folder)
     fs.create_dir(root, recursive=True)
-    encoded = rows.mapInArrow(encode, "file int, doc_id long, ids binary")
-    dealt = encoded.repartitionById(files, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
-    written = dealt.mapInArrow(write, "file int, path string, n_docs long, n_tokens long").orderBy("file").collect()  # a row per file
+    encoded = rows.mapInArrow(encode, "file int, doc_id long, code long, ids binary")
+    dealt = encoded.repartitionById(files, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "code")
+    written = dealt.drop("code").mapInArrow(write, "file int, path string, n_docs long, n_tokens long").orderBy("file").collect()  # a row per file
     manifest, start = [], 0
     for row in written:
         manifest.append({"path": row["path"], "n_docs": row["n_docs"], "n_tokens": row["n_tokens"], "start": start})

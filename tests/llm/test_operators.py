@@ -129,7 +129,6 @@ def test_elias_fano():
 
 def check_tokens(got, pairs):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = [(i, np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, text in pairs]
     order = sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0, np.frombuffer(x[1], "<u4").astype("<u2").tobytes()))
     starts = np.cumsum([0] + [len(b) // 4 for _, b in order]).tolist()
@@ -148,6 +147,47 @@ def test_token_files(spark, docs, rows, small):
     check_tokens(token_files.op3_token_files(spark, small).collect(), [(r.doc_id, r.text) for r in table.collect()])
 
 
+def test_special_strings_are_tokens(spark):
+    texts = ["<|endoftext|> hi", "a<|startoftext|>b", "<|ENDOFTEXT|> x", "<|endoftext|><|endoftext|>", "é<|endoftext|>É it's", "<|endoftext|", "\x1c a\x1db\x85c\u3000d"]
+    got = {r.doc_id: r for r in token_write(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))}
+    check_tokens(got.values(), list(enumerate(texts)))
+    assert np.frombuffer(got[0].ids, "<u4").tolist() == [49407, 1883, 2]
+
+
+def token_write(spark, docs):
+    folder = new_folder(spark, "tokens")
+    token_files.write_token_files(docs, folder)
+    return token_files.read_token_files(spark, folder).collect()
+
+
+def test_one_identifier_fills_many_files(spark, monkeypatch):
+    """Rows of one identifier, those without one and equal rows are dealt to several files, and the order still holds."""
+    monkeypatch.setattr(token_files, "FILE_DOCS", 25)
+    rows = [(7, f"word{i} other")for i in range(200)] + [(None, f"null{i}") for i in range(150)] + [(9, "the same")] * 200 + [(i, f"n{i}") for i in range(10, 60)] + [(-(1 << 63), "least"), ((1 << 62), "most")]
+    docs, folder = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), new_folder(spark, "tokens")
+    manifest = token_files.write_token_files(docs, folder)
+    assert len(manifest) > 15 and max(m["n_docs"] for m in manifest) < 130
+    got = token_files.read_token_files(spark, folder).collect()
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [(i, np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, text in rows]
+    same_rows([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], [(i, len(b) // 4, zlib.crc32(b)) for i, b in ids])
+
+
+def test_word_cache_overflow_changes_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY", 6)
+    monkeypatch.setattr(token_files, "TOGETHER", 3)
+    import pyarrow as pa
+
+    own, plain = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for at in range(0, len(rows), 4):
+        texts = [r[1] for r in rows[at : at + 4] if r[1] is None or len(r[1]) < 9000]
+        got = own.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+        assert [np.frombuffer(b.as_py(), "<u2").tolist() for b in got] == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 # 4: sharding
 
 
