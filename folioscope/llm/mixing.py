@@ -5,8 +5,8 @@ mix has as many slots as the targets ask for. Its layout is a pseudorandom bijec
 (source, ordinal) slots, whose order gives the positions; an output shard is a run of SHARD_SLOTS positions, so the number of slots that each
 source gets in a shard is a multinomial draw, conditioned on the sources' totals, which therefore come out exactly.
 Which blocks are taken follows from the totals alone; the draw decides their shards and positions, which are part of the results.
-Ordinal j of a source with n blocks stands for block (j mod n) x A + C mod n in its (j div n)-th pass, A prime to n: a
-pseudorandom permutation of its indices. Slots and the documents' pieces of blocks are joined by source and block index.
+Ordinal j of a source with n blocks stands for one of its blocks in the (j div n)-th pass, by a pseudorandom
+permutation of 0..n-1 with a key of its own for each source: ROUNDS rounds of swap-or-not, which is a bijection for every n. Slots and the documents' pieces of blocks are joined by source and block index.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating; a target is at most 3 times its source's size and the
 rest is shared by weight (water filling). A block is taken at most 3 times, so no document exceeds 3 times its size.
@@ -32,20 +32,24 @@ SHARD_SLOTS = 4096
 PASSES = 3
 #: The weights, by the place of the source.
 WEIGHTS = (5, 2, 1)
-#: Rows of one source that a chunk of its stream holds, about; slots that one step lays out.
-CHUNK_ROWS, CHUNK_SLOTS = 20_000, 1 << 16
+#: Rows of one source that a chunk of its stream holds, about, and chunks at least; slots that one step lays out.
+CHUNK_ROWS, CHUNKS, CHUNK_SLOTS = 20_000, 128, 1 << 16
 #: Ranges of the layout that are numbered apart; a fixed number, as one task adds up their counts.
 RANGES = 1024
 SEED = 42
 WORD = r"[^\x20\x09-\x0D]+"
-#: Multipliers of the index permutations: primes, so one of the two is prime to any n below their product.
-PRIMES = (1_000_003, 998_244_353)
+#: Rounds of the index permutations.
+ROUNDS = 24
 
 
 def permuted(i: Column, n: Column, key: Column) -> Column:
-    """A pseudorandom bijection of 0..n-1; the multiplier is coprime to n."""
-    a = F.when(n % PRIMES[0] != 0, F.lit(PRIMES[0]) % n).otherwise(F.lit(PRIMES[1]) % n)
-    return F.pmod(F.pmod(i, n) * a + F.pmod(F.xxhash64(key, F.lit(SEED)), n), n)
+    """A pseudorandom bijection of 0..n-1: each round pairs x with k - x (mod n) and a hash of the larger says whether to swap."""
+
+    def swap_or_not(x: Column, turn: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(key, turn), n) - x, n)
+        return F.when(F.xxhash64(F.greatest(x, partner), key, turn).bitwiseAND(1) == 1, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.pmod(i.cast("long"), n.cast("long")), swap_or_not)
 
 
 def scattered(a: Column, half: int) -> Column:
@@ -94,7 +98,7 @@ class Mix:
         self.sources = kept_on_disk(source_targets(sizes))
         counts = sizes.agg(F.coalesce(F.max("n_rows"), F.lit(0))).first()
         slots = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-        self.chunks = scaled(counts[0], CHUNK_ROWS, 16)
+        self.chunks = scaled(counts[0], CHUNK_ROWS, CHUNKS)
         self.half = max(1, -(-max(1, int(slots - 1).bit_length()) // 2))
 
     def slots(self) -> DataFrame:

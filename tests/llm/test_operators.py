@@ -375,13 +375,93 @@ def test_mixed_documents(docs, rows):
     assert all(set(t.split()) <= source[i] | set("one".split()) for i, ts in texts.items() for t in ts)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of long, int (as (int,)) and string columns."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else int(v[0]).to_bytes(4, "little", signed=True) if isinstance(v, tuple) else int(v).to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_permuted(i, n, key):
+    x = i % n
+    for turn in range(1, mixing.ROUNDS + 1):
+        partner = (spark_hash((key,), (turn,)) % n - x) % n
+        if spark_hash(max(x, partner), (key,), (turn,)) & 1:
+            x = partner
+    return x
+
+
 def test_permutations(spark):
-    for n in (1, 2, 7, 1000, 1_000_003):
-        if n < 5000:
-            rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("p")).collect()
-            assert sorted(r.p for r in rows) == list(range(n))
+    for n in (1, 2, 7, 1000, 20_011):
+        rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("p")).collect()
+        assert sorted(r.p for r in rows) == list(range(n))
+        if n > 500:
+            at = np.array([r.p for r in spark.range(n).orderBy("id").select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("p")).collect()])
+            # no rotation or other affine map, and no trace of the order
+            assert Counter(np.diff(at) % n).most_common(1)[0][1] < 12 and abs(np.corrcoef(at, np.arange(n))[0, 1]) < 0.12
     rows = spark.range(1 << 12).select(mixing.scattered(F.col("id"), 6).alias("p")).collect()
     assert sorted(r.p for r in rows) == list(range(1 << 12))
+    big = 2_000_000_011
+    got = spark.createDataFrame([(i,) for i in (0, 5, big - 1, big + 7)], "i long").select(mixing.permuted(F.col("i"), F.lit(big), F.lit(2)).alias("p")).collect()
+    assert [r.p for r in got] == [brute_permuted(i, big, 2) for i in (0, 5, big - 1, big + 7)]
+
+
+def brute_mix(rows):
+    """(doc, source, taken, position, {shard: words}) of (doc_id, text, source) rows, in plain Python."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total, many = Counter(), Counter()
+    for _, t, s in rows:
+        total[s] += size(t)
+        many[s] += 1
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    targets = water([total[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    chunks = max(mixing.CHUNKS, -(-max(many.values()) // mixing.CHUNK_ROWS))
+    slots, blocks = [], []
+    for o, s in enumerate(names):
+        n = -(-total[s] // mixing.BLOCK)
+        blocks.append(n)
+        slots.append(min(int(targets[o] * n / total[s] + 0.5), 3 * n) if total[s] else 0)
+    half = max(1, -(-max(1, (sum(slots) - 1).bit_length()) // 2))
+    mask = (1 << half) - 1
+
+    def feistel(a):
+        left, right = a >> half, a & mask
+        for turn in range(4):
+            left, right = right, left ^ (spark_hash(right, (mixing.SEED + turn,)) & mask)
+        return (left << half) + right
+
+    layout = sorted((feistel(first), o, j) for o, start in enumerate(np.cumsum([0, *slots])[:-1].tolist()) for j in range(slots[o]) for first in [start + j])
+    drawn = defaultdict(list)
+    for position, (_, o, j) in enumerate(layout):
+        drawn[o, brute_permuted(j, blocks[o], o)].append(position)
+    out = []
+    for o, s in enumerate(names):
+        own = sorted(((spark_hash(i, spark_hash(t)) % chunks, i, spark_hash(t), size(t)) for i, t, src in rows if src == s))
+        start = 0
+        for _, i, _, n in own:
+            taken, shards, at = 0, Counter(), []
+            for b in range(start // mixing.BLOCK, (start + n - 1) // mixing.BLOCK + 1 if n else 0):
+                words = min(start + n, (b + 1) * mixing.BLOCK) - max(start, b * mixing.BLOCK)
+                for p in drawn[o, b]:
+                    shards[p // mixing.SHARD_SLOTS] += words
+                    taken += words
+                    at.append(p)
+            out.append((i, s, n, taken, min(at, default=None), " ".join(f"{k}:{v}" for k, v in sorted(shards.items()))))
+            start += n
+    return out
+
+
+def test_mix_by_brute_force(spark, small, monkeypatch):
+    """Every document's words, position and shards, recomputed: targets, slots, layout, permutations, streams and blocks."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 32)
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in table.collect()] + [(10**6, None, "src0"), (10**6 + 1, "", None), (10**6 + 2, "few words here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.Mix(docs).taken().collect()
+    same_rows([(r.doc_id, r.source, r.size, r.taken, r.position, r.shards) for r in got], brute_mix(rows))
 
 
 def test_shard_draw_reaches_the_results(spark, small, monkeypatch):
