@@ -620,14 +620,61 @@ def test_topk(spark):
     got = topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0)).collect()
     good = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in e]) for i, e, *_ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     expected = []
-    for q, e in {(i, tuple(e)) for i, e in good if i % 100 == 0}:
-        scored = sorted(((-sum(a * b for a, b in zip(e, f, strict=False)), i) for i, f in good if i != q))[:10]
-        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    for at, (q, e) in enumerate(good):  # every row is a query of its own, and no candidate of itself alone
+        if q % 100 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(e, f, strict=False)), i) for to, (i, f) in enumerate(good) if to != at))[:10]
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     same_rows(got, expected)
     few = topk.whole_vectors(spark.createDataFrame(rows[:1] + rows[5:8] + [(100, [3e30] * 6, "x", 1)], schema))
     assert few.count() == 5 and topk.top_k(few, few.where("vec_id = 0")).count() == 4
 
 
+def check_cover(node, rows):
+    """Nesting, covering and separation, level by level."""
+    d = lambda a, b: float(np.linalg.norm(rows[a] - rows[b]))
+    assert all(d(p, node.centre) <= node.radius * (1 + 1e-12) for p in node.points)
+    if node.kids:
+        scale = node.radius / topk.BASE
+        centres = [kid.centre for kid in node.kids]
+        assert centres[0] == node.centre and sorted(np.concatenate([kid.points for kid in node.kids]).tolist()) == sorted(node.points.tolist())
+        assert all(kid.radius <= scale for kid in node.kids) and all(d(a, b) > scale for i, a in enumerate(centres) for b in centres[:i])
+        for kid in node.kids:
+            check_cover(kid, rows)
+
+
+def test_cover_tree_prunes():
+    rng = np.random.default_rng(12)
+    middle = rng.normal(size=(30, 16)) * 4000
+    rows = np.floor(np.concatenate([m + rng.normal(size=(100, 16)) * 60 for m in middle]))
+    tree = topk.cover_tree(rows, leaf=8)
+    assert tree.kids
+    check_cover(tree, rows)
+    asked = np.arange(0, len(rows), 50)
+    best, best_id, found, pairs = topk.dual_tree_top_k(rows[asked], asked, rows, np.arange(len(rows)))
+    score = (rows[asked] @ rows.T).astype(np.int64)
+    score[np.arange(len(asked)), asked] = np.iinfo(np.int64).min
+    order = np.lexsort((np.broadcast_to(np.arange(len(rows)), score.shape), ~score), axis=1)[:, :10]
+    assert (best_id == order).all() and (found == 10).all() and pairs < 0.15 * len(asked) * len(rows)
+
+
+def test_topk_cells(spark, monkeypatch):
+    """Clusters, copies of one vector over many pieces, and terms that cancel: the cells' results are brute force's."""
+    monkeypatch.setattr(topk, "GROUP", 40)
+    rng = np.random.default_rng(13)
+    middle = rng.normal(size=(12, 8)) * 3
+    rows = [(i, (middle[i % 12] + rng.normal(size=8) * 0.05).tolist()) for i in range(600)] + [(1000 + i, [1.0] * 8) for i in range(300)] + [(1100, [1.0] * 8)] * 3
+    rows += [(5000 + i, [3e9, -3e9 + i, 1e-3 * i, *[0.0] * 5]) for i in range(60)] + [(6000, [1e9, 1e9, *[0.0] * 6])]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect()
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    expected = []
+    for at, (q, e) in enumerate(whole):
+        if q % 100 == 0:
+            scored = sorted((-min(max(sum(a * b for a, b in zip(e, f, strict=True)), -(2**63) + 1), 2**63 - 1), i) for to, (i, f) in enumerate(whole) if to != at)[:10]
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    same_rows(got, expected)
+
+
 def test_empty(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     vectors = topk.whole_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
