@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -115,21 +116,34 @@ class EliasFano:
         return cls(n, bits, data[40 : 40 + a], data[40 + a : 40 + a + b], data[40 + a + b : 40 + a + b + c])
 
 
+#: White space that parts texts, and a run of ASCII symbols that ends a word in a letter or digit and does not begin with an apostrophe
+#: (U+0130 is left out, as lowering it makes a combining mark, which would belong to the run).
+_SPACE = r"\t-\r "
+_TAIL = rf"([a-z0-9\x{{e0}}-\x{{f6}}\x{{f8}}-\x{{12f}}\x{{131}}-\x{{24f}}])([!-&(-/:-@\[-`{{-~][!-/:-@\[-`{{-~]*)([{_SPACE}]|$)"
+_latin_word = re.compile("[a-z\u00e0-\u00f6\u00f8-\u024f]+").fullmatch
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
     This vocabulary's normaliser and pre-tokenizer drop white space and never look across it, and its special tokens hold
-    none, so a text's ids are those of its parts between ASCII white space, one after the other. For words in ASCII
-    the normaliser only lowers letters; a tokenizer without it takes them, lowered, special tokens apart.
+    none, so a text's ids are those of its parts between ASCII white space, one after the other. Texts without special
+    tokens may be lowered and their words parted from the symbols behind them beforehand, as normaliser and
+    pre-tokenizer do both. Words of Latin letters alone are one piece that the normaliser leaves as it is: a tokenizer
+    without it takes many of them at once, and the vocabulary's end-of-word tokens tell where each ends.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.normalizer = None
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        words = self.tokenizer.get_vocab()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.code: dict[bytes, int] = {}
         self.start, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, f"<u{self.width}")
@@ -150,18 +164,19 @@ class WordEncoder:
         self.start = np.cumsum(self.count) - self.count
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words not met before and remember them, those in plain ASCII many at a time."""
-        plain, others, ids, counts = [], [], [], []
+        """Encode words not met before and remember them, those of Latin letters many at a time."""
+        plain, low, others, ids, counts = [], [], [], [], []
         for w in words:
-            (plain if w.isascii() else others).append(w)
-        if any(s in b" ".join(plain).lower() for s in self.special):
-            apart = {w for w in plain if any(s in w.lower() for s in self.special)}
-            plain, others = [w for w in plain if w not in apart], [*others, *apart]
+            text = w.decode("utf-8", "replace").lower()
+            if _latin_word(text):
+                plain.append(w)
+                low.append(text)
+            else:
+                others.append(w)
         for at in range(0, len(plain), TOGETHER):
-            part = plain[at : at + TOGETHER]
-            got = self.plain.encode(b" ".join(part).lower().decode().split(" "), is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(got.ids, self.ids.dtype))
-            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+            own = np.array(self.plain.encode_batch_fast([" ".join(low[at : at + TOGETHER])], add_special_tokens=False)[0].ids, self.ids.dtype)
+            ids.append(own)
+            counts.append(np.diff(np.flatnonzero(self.ends[own]), prepend=-1))
         single = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)]
         counts.append(np.fromiter(map(len, single), np.int64, len(single)))
         ids.append(np.fromiter(chain.from_iterable(single), self.ids.dtype, int(counts[-1].sum())))
@@ -176,7 +191,11 @@ class WordEncoder:
         """Each text's ids with the end id, as bytes, from binary texts."""
         if len(self.code) > MEMORY:
             self.forget()
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        whole = pc.fill_null(texts, b"").view(pa.string())
+        low = pc.ascii_lower(whole)
+        if not any(pc.any(pc.match_substring(low, s)).as_py() for s in self.special):
+            whole = pc.replace_substring_regex(low, _TAIL, r"\1 \2\3")
+        words = pc.ascii_split_whitespace(whole)
         distinct = words.flatten().dictionary_encode()
         known = distinct.dictionary.view(pa.binary()).to_pylist()
         codes = np.fromiter(map(self.code.get, known, repeat(-1)), np.int64, len(known))

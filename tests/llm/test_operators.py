@@ -160,6 +160,19 @@ def token_write(spark, docs):
     return token_files.read_token_files(spark, folder).collect()
 
 
+def test_words_apart_from_their_symbols(spark):
+    """Random strings of letters, symbols, apostrophes, white space, other alphabets and capitals, against the library on whole texts."""
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    every = [*"abzAZ019", *"!,.;:'\"$%^&*()_-+=<>|/`~[]{}#@?", *"    \t\n\x0b\r", *"'s 't 're ll".split(), *"éÉßÀÿøŁĳİıǅǆ×÷", "e\u0301", "\u2026", "\u00a0", "\u3000", "\x1c", "\x85", "東", "ж", "²", "½"]
+    texts = ["".join(rng.choices(every, k=rng.randint(0, 40))) for _ in range(3000)]
+    own, plain = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = own.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids.as_py(), "<u2").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_one_identifier_fills_many_files(spark, monkeypatch):
     """Rows of one identifier, those without one and equal rows are dealt to several files, and the order still holds."""
     monkeypatch.setattr(token_files, "FILE_DOCS", 25)
