@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import LETTERS
+
 _TOKEN = re.compile(r'(-?)"([^"]*)"|(\S+)')
 
 
+def fold(literal: str) -> str:
+    """The search form of a literal, as text.normalize_text makes it of a column."""
+    for letter, plain in LETTERS:
+        literal = literal.replace(letter, plain)
+    literal = "".join(c for c in unicodedata.normalize("NFKD", literal) if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", " ", literal.lower()).strip()
+
+
 def parse_query(query: str) -> list[list[tuple[bool, str]]]:
     """Clauses of (negated, literal): words are joined by AND, OR starts a clause, NOT or - negates the next literal."""
     clauses: list[list[tuple[bool, str]]] = [[]]
@@ -25,7 +36,7 @@ def parse_query(query: str) -> list[list[tuple[bool, str]]]:
             continue
         else:
             literal = phrase or word.removeprefix("-")
-            literal = re.sub("[^a-z0-9]+", " ", literal.lower()).strip()
+            literal = fold(literal)
             if literal:
                 clauses[-1].append((negate or bool(minus) or word.startswith("-"), literal))
             negate = False

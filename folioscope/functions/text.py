@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-LETTERS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"))
+#: Letters that no decomposition reaches, and what they fold to.
+LETTERS = (("ø", "o"), ("Ø", "o"), ("æ", "ae"), ("Æ", "ae"), ("œ", "oe"), ("Œ", "oe"), ("ß", "ss"), ("đ", "d"), ("Đ", "d"), ("ð", "d"), ("Ð", "d"), ("ł", "l"), ("Ł", "l"), ("þ", "th"), ("Þ", "th"), ("ı", "i"))
+#: Last parts of a publisher's path behind a DOI.
+DOI_VIEWS = "figures?|tables?|abstract|full|epdf|pdf|fullpdf|references?|metrics|supplementary|suppl|media"
+
+
+def _decomposed() -> tuple[dict[str, str], str]:
+    """Letters of the Latin blocks and compatibility forms by their plain letter or digit, and those that decompose to a letter and marks."""
+    plain, marked = {}, []
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0xFF10, 0xFF5B)):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        bare = "".join(c for c in parts if not unicodedata.combining(c))
+        if len(bare) == 1 and bare.isascii() and bare.isalnum():
+            plain[chr(code)] = bare
+            if len(parts) > 1:
+                marked.append(chr(code))
+    return plain, "".join(marked)
+
+
+_PLAIN, MARKED = _decomposed()
+ACCENTED, PLAIN = "".join(_PLAIN), "".join(_PLAIN.values())
+#: Compatibility forms of several letters or digits, from the same rule; those with marks are few.
+_WHOLE = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in (*range(0x132, 0x1F4), *range(0x2100, 0x2190), *range(0xFB00, 0xFB07))}
+_JOINED = {c: "".join(x for x in p if not unicodedata.combining(x)) for c, p in _WHOLE.items()}
+_JOINED = {c: p for c, p in _JOINED.items() if len(p) > 1 and p.isascii() and p.isalnum()}
 
 
 def text_or_empty(c: Column) -> Column:
@@ -19,12 +42,33 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _letters(c: Column) -> Column:
+    """Accented and joined letters as plain ones, marks that stand alone dropped; texts in ASCII pass by."""
+    folded = F.translate(c, ACCENTED, PLAIN)
+    for letter, plain in (*LETTERS, *_JOINED.items()):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return F.when(F.rlike(c, F.lit(r"[^\x00-\x7f]")), F.regexp_replace(folded, r"[\u0300-\u036f]", "")).otherwise(c)
+
+
 def normalize_text(c: Column) -> Column:
     """Search form: letters folded, lower case, anything else one space."""
-    folded = F.lower(F.translate(text_or_empty(c), ACCENTED, PLAIN))
-    for letter, plain in LETTERS:
-        folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(_letters(text_or_empty(c))), "[^a-z0-9]+", " "))
+
+
+def normalize_title(c: Column) -> Column:
+    """Title identity: letters decomposed, lower case, anything else one space, marks included, so that an accent parts a word."""
+    c = text_or_empty(c)
+    apart = F.translate(F.regexp_replace(c, f"([{MARKED}])", "$1 "), ACCENTED, PLAIN)
+    for letter, plain in _JOINED.items():
+        apart = F.replace(apart, F.lit(letter), F.lit(plain + " " * (len(_WHOLE[letter]) > len(plain))))
+    apart = F.when(F.rlike(c, F.lit(r"[^\x00-\x7f]")), apart).otherwise(c)
+    return F.trim(F.regexp_replace(F.lower(apart), "[^a-z0-9]+", " "))
+
+
+def search_title(c: Column) -> Column:
+    """A title without the characters that a search service reads as operators; typographic quotes made plain."""
+    quotes = F.translate(text_or_empty(c), "\u201c\u201d\u2018\u2019", "\"\"''")
+    return collapse(F.regexp_replace(quotes, r"[|(){}\[\]^~?:\\/]", " "))
 
 
 def fold_text(c: Column) -> Column:
@@ -40,7 +84,7 @@ def normalize_plain(c: Column) -> Column:
 def normalize_doi(c: Column) -> Column:
     """The DOI in a string without resolver prefix, view suffix and closing punctuation; null if there is none. Case stays."""
     found = F.regexp_extract(text_or_empty(c), r"(10\.[0-9]{4,9}/[-._;()/:a-zA-Z0-9]+)", 1)
-    bare = F.regexp_replace(found, r"(/full|/pdf|/figures)(/.*)?$", "")
+    bare = F.regexp_replace(found, f"(?i)/({DOI_VIEWS})(/.*)?$", "")
     return F.nullif(F.regexp_replace(bare, r"[./;:)]+$", ""), F.lit(""))
 
 
@@ -59,12 +103,8 @@ def year_in(c: Column) -> Column:
 
 
 def crude_stem(c: Column) -> Column:
-    """Plural endings of longer words dropped: ies to y, else a closing s that is not ss."""
-    return F.when((F.length(c) > 4) & c.endswith("ies"), F.concat(F.expr("substring(%s, 1, length(%s) - 3)" % ((_name(c),) * 2)), F.lit("y"))).when((F.length(c) > 3) & c.endswith("s") & ~c.endswith("ss"), F.expr("substring(%s, 1, length(%s) - 1)" % ((_name(c),) * 2))).otherwise(c)
-
-
-def _name(c: Column) -> str:
-    return c._jc.toString()
+    """Each word of more than three characters without a closing s that is not ss; white space collapsed."""
+    return F.regexp_replace(collapse(c), r"(?<=^| )([^ ]{2,}[^s ])s(?= |$)", "$1")
 
 
 def clip_middle(c: Column, limit: int, mark: str = " ... ") -> Column:

@@ -1 +1,3 @@
-"""Queries over the driver's tables, with SQL."""
+"""Queries over the driver's tables; importing the package registers all of them."""
+
+from folioscope.plans import catalog, texts  # noqa: F401

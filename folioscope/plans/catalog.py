@@ -18,6 +18,8 @@ from folioscope.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The module that each query is written in.
+MODULE: dict[str, str] = {}
 
 #: Letters folded as functions.text folds them, for the SQL.
 _FOLD = "replace(replace(replace(replace(lower(strip_accents(coalesce({0}, ''))), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
@@ -34,7 +36,7 @@ DOI = "concat(CASE p_partkey % 5 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'doi
 def query(sql: str):
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        SQL[f.__name__] = sql
+        SQL[f.__name__], MODULE[f.__name__] = sql, f.__module__.rpartition(".")[2]
         return f
 
     return add
