@@ -20,6 +20,15 @@ def prune(stored: DataFrame, snapshot: DataFrame, key: str, complete: bool = Tru
     return stored.join(snapshot.select(key).distinct(), key, "left_semi") if complete else stored
 
 
+def detach(stored: DataFrame, snapshot: DataFrame, key: str, sources: str, source: str) -> DataFrame:
+    """Stored rows after a complete snapshot of one source: a row that it no longer has loses the source, and goes if that was its only one."""
+    kept = snapshot.select(F.col(key).alias("_k")).distinct()
+    rows = stored.join(kept, F.col(key) == F.col("_k"), "left")
+    gone = F.array_contains(sources, source) & F.col("_k").isNull()
+    rest = F.when(gone, F.array_remove(sources, source)).otherwise(F.col(sources))
+    return rows.withColumn(sources, rest).where(F.size(sources) > 0).drop("_k")
+
+
 def pending(inputs: DataFrame, stamps: DataFrame, key: str, version: int, signature: str = "sig") -> DataFrame:
     """Rows without a completion stamp of this version and signature."""
     done = stamps.where(F.col("version") == version).select(key, signature).distinct()

@@ -14,6 +14,7 @@ from folioscope.functions import text as X
 from folioscope.operators import lists as M
 from folioscope.operators import relational as R
 from folioscope.operators import state as S
+from folioscope.operators import views as V
 from folioscope.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,14 +190,8 @@ def d16_tag_counts(t):
 # windows
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS n FROM part ORDER BY n LIMIT 200")
-def e1_ranked(t):
-    top = t("part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200)
-    return top.select("p_partkey", F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("n"))
-
-
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS n FROM part")
-def e1_ranked_all(t):
+def e1_ranked(t):
     return R.ranked(t("part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.asc("p_partkey")]).select("p_partkey", "n")
 
 
@@ -246,10 +241,11 @@ def f3_top_cited(t):
 # sets
 
 
-@query("SELECT wid, min(pool) AS pool, CAST(sum(n) AS BIGINT) AS lib_cites, count(*) > 1 AS in_both FROM (SELECT l_partkey AS wid, 'cited_by' AS pool, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1 UNION ALL SELECT l_partkey, 'references', count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) GROUP BY 1")
+@query("SELECT wid, max(pool) AS pool, CAST(sum(n) AS BIGINT) AS lib_cites, count(*) > 1 AS in_both FROM (SELECT l_partkey AS wid, 'cited_by' AS pool, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1 UNION ALL SELECT l_partkey, 'references', count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) GROUP BY 1")
 def g1_pool_merge(t):
-    pool = lambda flag, name: R.tally(t("lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("wid")), "wid", "n").withColumn("pool", F.lit(name))
-    return pool("N", "cited_by").unionByName(pool("R", "references")).groupBy("wid").agg(F.min("pool").alias("pool"), F.sum("n").alias("lib_cites"), (F.count("*") > 1).alias("in_both"))
+    pool = lambda flag: R.tally(t("lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("wid")), "wid", "lib_cites")
+    merged = V.pool_merge([("references", pool("R")), ("cited_by", pool("N"))], "wid", "lib_cites", [])
+    return merged.select("wid", F.get("pools", F.lit(0)).alias("pool"), "lib_cites", (F.size("pools") > 1).alias("in_both"))
 
 
 @query("WITH b AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 6), m AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 NOT IN (1, 5)), o AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 NOT IN (2, 5)) SELECT c_custkey FROM customer WHERE (c_custkey IN (FROM b) AND c_custkey IN (FROM m) AND c_custkey IN (FROM o)) OR (c_custkey NOT IN (FROM b) AND (c_custkey IN (FROM m) OR c_custkey IN (FROM o)))")

@@ -183,10 +183,10 @@ def h30_fingerprints(t):
     return t("part").groupBy("p_brand").agg(B.fingerprint(F.collect_set("p_name")).alias("library"), B.fingerprint(F.collect_set("p_type"), 12).alias("vocabulary"))
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(['Steel', 'Brass', 'Tin', 'Large', 'Small'], lambda x: list_contains(list_transform(string_split(p_type, ' '), lambda w: lower(w)), lower(x))), ';') AS labels FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter(['Ring', 'Hot', 'Small', 'Bolt'], lambda x: list_contains(string_split(p_name, ' '), lower(x))), ';') AS labels FROM part")
 def h32_config_order(t):
-    found = F.transform(F.split(F.lower("p_type"), " "), F.initcap)
-    return t("part").select("p_partkey", F.array_join(B.in_config_order(found, ["Steel", "Brass", "Tin", "Large", "Small"]), ";").alias("labels"))
+    found = F.transform(F.split("p_name", " "), lambda w: F.initcap(w))
+    return t("part").select("p_partkey", F.array_join(B.in_config_order(found, ["Ring", "Hot", "Small", "Bolt"]), ";").alias("labels"))
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, 'none' AS missing FROM events")
