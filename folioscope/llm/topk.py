@@ -7,7 +7,7 @@ and then only in the cells whose ball (pivot, covering radius) may hold a score
 In a cell a task builds a cover tree over its candidates and one over its queries. The root covers all its points; the
 children of a node with covering radius s have centres more than s / BASE apart, the first being the node's own, and
 every point of the node lies within s / BASE of its child's centre. A node that would need more than FAN children for that, or
-has LEAF points (QUERY_LEAF in the queries' tree) at most, stays a leaf. For nodes Q and R no score exceeds q.r + radius_R |q| + radius_Q |r| + radius_Q radius_R; the
+has LEAF points (QUERY_LEAF in the queries' tree) at most, stays a leaf; pairs of WORK scores at most are scored whole. For nodes Q and R no score exceeds q.r + radius_R |q| + radius_Q |r| + radius_Q radius_R; the
 pair is dropped if that is below the worst kth score so far of the queries under Q. Where vectors point every way in many
 dimensions, as random unit vectors do, no ball can be dropped, and every pair is scored, in blocks.
 
@@ -39,9 +39,9 @@ SEED = 42
 #: Candidates in a cell and queries in a block, at most about; pivots, at most.
 GROUP, QUERY_GROUP, MOST_PIVOTS = 16_384, 32_768, 1024
 #: Cover trees: points of a leaf of candidates and of queries, children, and the ratio of the covering radii of two levels.
-LEAF, QUERY_LEAF, FAN, BASE = 48, 2, 128, 1.3
-#: Candidates that are scored against a leaf's queries at once, and scores held at once.
-BLOCK, SCORES = 512, 1 << 21
+LEAF, QUERY_LEAF, FAN, BASE = 48, 2, 64, 1.3
+#: Candidates that are scored against queries at once, scores held at once, and scores that cost about as much as looking further into a pair.
+BLOCK, SCORES, WORK = 512, 1 << 21, 1 << 12
 #: Queries are the identifiers divisible by this.
 EVERY = 100
 #: Rounding in bounds, relative to the norms: far above 64-bit floats' own.
@@ -152,7 +152,7 @@ def dual_tree_top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray
         q, r = stack.pop()
         if bound(q, r) < worst(q):
             continue
-        if not q.kids and not r.kids:
+        if not (q.kids or r.kids) or len(q.points) * len(r.points) <= WORK:
             base(q.points, r.points)
             continue
         both = [(bound(a, b), i, j, a, b) for i, a in enumerate(q.kids or [q]) for j, b in enumerate(r.kids or [r])]
