@@ -15,6 +15,13 @@ across buckets by contraction: labels hook to the smallest neighbour and pointer
 Defined results: null counts as empty; texts without words have fingerprint zero, which links like any other; texts with
 fewer words than a shingle are one shingle; rows that repeat share a component; a component whose identifiers are
 all null has a null component_id; an empty table gives an empty result. Texts are read whole. Other columns don't matter.
+
+`near_representatives` keeps one document of each group whose distinct shingles of SIMILAR_WORDS words have a Jaccard similarity of
+SIMILAR or more. 64 bits can't tell that: such texts differ in about ten of them. Its fingerprints have PARTS x 64 bits, one majority for each;
+candidates share one of several random choices of bits (as many as a pair at SIMILAR needs to share one with probability CAUGHT), and
+inside such a bucket the same Gray-order index finds the fingerprints within WORD_LINK bits of one 64-bit part, of which
+those within the distance of `loose_distance` over all parts are links. A reached fingerprint is closed, so groups of near copies give one
+edge each. Every edge's texts are then compared exactly; what falls short of SIMILAR is dropped.
 """
 
 from __future__ import annotations
@@ -39,6 +46,12 @@ FAN = 16
 TASK_ROWS = 400_000
 #: Frontier entries that a search holds at once.
 FRONTIER = 1 << 20
+#: Near copies: words of a shingle, least similarity, 64-bit parts of a fingerprint, differences of one part that the index looks for, share of pairs at the least similarity that some bucket holds.
+SIMILAR_WORDS, SIMILAR, PARTS, WORD_LINK, CAUGHT = 5, 0.8, 8, 18, 0.99
+#: Standard deviations above the distance expected at SIMILAR within which texts are compared.
+SPREAD = 2.5
+#: Labels and fingerprints of at least this share of all rows are joined by broadcast; there are at most its inverse of them.
+HOT = 1 / 2000
 #: Edges per file of the checkpoints between rounds, and files at least (where there are as many partitions).
 CUT_ROWS, CUT_PARTS = 250_000, 8
 
@@ -157,14 +170,17 @@ class GrayIndex:
             work += [block[len(block) // 2 :], block[: len(block) // 2]]
 
 
-def bucket_edges(bucket: np.ndarray, value: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, inside each bucket, exactly what links of at most `link` bits connect."""
+def bucket_edges(bucket: np.ndarray, value: np.ndarray, link: int = LINK, whole: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as pairs of row numbers, that connect inside each bucket exactly what links of at most `link` bits connect.
+
+    With `whole`, the rows' fingerprints of several parts, links are also at most `most` bits of all parts apart.
+    """
     _, inverse, sizes = np.unique(bucket, return_inverse=True, return_counts=True)
-    shared = sizes[inverse] > 1
-    bucket, value = bucket[shared], value[shared]
-    if not len(value):
-        return value, value
-    index = GrayIndex(bucket, value)
+    shared = np.flatnonzero(sizes[inverse] > 1)
+    if not len(shared):
+        return shared, shared
+    index = GrayIndex(bucket[shared], value[shared])
+    row = shared[index.order]
     open_ = np.ones(len(value), bool)
     seed = index.first.copy()
     frontier = np.empty(0, np.int64)
@@ -187,15 +203,18 @@ def bucket_edges(bucket: np.ndarray, value: np.ndarray, link: int = LINK) -> tup
         alive = index.alive(open_)
         reached = []
         for q, found in index.search(block, alive, link):
+            if whole is not None:
+                near = np.bitwise_count(whole[row[q]] ^ whole[row[found]]).sum(axis=1, dtype=np.int64) <= most
+                q, found = q[near], found[near]
             found, once = np.unique(found, return_index=True)
             new = open_[found]  # an earlier part of the block may have reached it
             q, found = q[once][new], found[new]
             open_[found] = False
-            left.append(index.value[q])
-            right.append(index.value[found])
+            left.append(row[q])
+            right.append(row[found])
             reached.append(found)
         frontier = np.concatenate(reached) if reached else np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (value[:0], value[:0])
+    return (np.concatenate(left), np.concatenate(right)) if left else (shared[:0], shared[:0])
 
 
 def link_edges(distinct: DataFrame, link: int = LINK) -> DataFrame:
@@ -214,9 +233,10 @@ def link_edges(distinct: DataFrame, link: int = LINK) -> DataFrame:
         parts = [(b.column("bucket").to_numpy(), b.column("fingerprint").to_numpy()) for b in batches]
         if parts:
             # two buckets that share a hash are searched as one, which is as exact
-            a, b = bucket_edges(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.uint64), link)
+            value = np.concatenate([p[1] for p in parts])
+            a, b = bucket_edges(np.concatenate([p[0] for p in parts]), value.view(np.uint64), link)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[a]), pa.array(value[b])], names=["a", "b"])
 
     return rows.repartition(scaled(n * len(keys), TASK_ROWS, partitions(spark)), "bucket").mapInArrow(run, "a long, b long")
 
@@ -247,15 +267,32 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("low").alias("node"), F.col("high").alias("label"))
 
 
+def hot_join(rows: DataFrame, values: DataFrame, key: str, value: str, salt: str) -> DataFrame:
+    """rows with `value` of their key, from values (key, value, many), `many` the rows of each key.
+
+    Keys of a share HOT of all rows or more are few and joined by broadcast; their rows are dealt by `salt` in the other join.
+    """
+    values = kept_on_disk(values)
+    total = values.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    least = max(2.0, total * HOT)
+    hot = values.where(F.col("many") >= least).select(F.col(key).alias("hot key"), F.col(value).alias("hot value"))  # 1 / HOT rows at most
+    rest = values.where(F.col("many") < least).select(F.col(key).alias("rest key"), F.col(value).alias("rest value"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot key"), "left")
+    dealt = marked.withColumn("dealt key", F.when(F.col("hot key").isNull(), F.col(key)).otherwise(F.xxhash64(F.lit("dealt"), salt)))
+    found = dealt.join(rest, (F.col("dealt key") == F.col("rest key")) & F.col("hot key").isNull(), "left")
+    return found.select(*rows.columns, F.coalesce("hot value", "rest value").alias(value))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, link: int = LINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (long), component_id: the smallest identifier that links reach."""
     marks = kept_on_disk(fingerprints(docs, words, id_col, text_col))
-    firsts = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    firsts = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("many"))
     labels = connected(link_edges(firsts.select("fingerprint"), link))
-    placed = firsts.join(labels, firsts["fingerprint"] == labels["node"], "left").select("fingerprint", "first_id", F.coalesce("label", "fingerprint").alias("label"))
-    smallest = placed.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    component = placed.join(smallest, "label").select("fingerprint", "component_id")
-    return marks.join(component, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    placed = kept_on_disk(firsts.join(labels, firsts["fingerprint"] == labels["node"], "left").select("fingerprint", "first_id", "many", F.coalesce("label", "fingerprint").alias("label")))
+    smallest = placed.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("many"))
+    component = hot_join(placed.select("fingerprint", "label", F.col("many").alias("rows")), smallest, "label", "component_id", "fingerprint")
+    component = component.select("fingerprint", "component_id", F.col("rows").alias("many"))
+    return hot_join(marks, component, "fingerprint", "component_id", "doc_id").select("doc_id", "fingerprint", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
@@ -263,24 +300,128 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_representatives(docs: DataFrame, words: int = WORDS, link: int = LINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they came: of each component the row with the smallest identifier.
+def shingle_hashes(text: bytes | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Hashes of a text's distinct word shingles; of a shorter text, the hash of all its words; none without words."""
+    tokens = (text or b"").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(SEED)), np.uint64, len(tokens))
+    n, total = max(1, len(h) - words + 1), np.zeros(max(1, len(h) - words + 1), np.uint64)
+    for i in range(min(words, len(h))):
+        total = (total ^ (h[i : i + n] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return np.unique(total)
+
+
+def wide_fingerprint(hashes: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """`parts` 64-bit majorities, each over its own mixing of the hashes; zero without any."""
+    counts, step = np.zeros(64 * parts, np.int64), np.uint64(0xD1B54A32D192ED03)
+    of = np.arange(1, parts + 1, dtype=np.uint64) * step
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096, None] + of
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def bit_share(similar: float) -> float:
+    """Share of the bits in which fingerprints of sets with this Jaccard similarity differ, as expected: the angle between them."""
+    return float(np.arccos(2 * similar / (1 + similar)) / np.pi)
+
+
+def loose_distance(similar: float = SIMILAR, parts: int = PARTS) -> int:
+    """Differences that a pair at `similar` hardly exceeds."""
+    p, n = bit_share(similar), 64 * parts
+    return int(n * p + SPREAD * np.sqrt(n * p * (1 - p)))
+
+
+def bit_choices(n: int, similar: float = SIMILAR, parts: int = PARTS) -> np.ndarray:
+    """Places of the bits of each bucket key: about log2(n / 32) bits, and choices enough that a pair at `similar` shares one with probability CAUGHT."""
+    width = int(np.clip(np.log2(max(2, n)) - 5, 8, 28))
+    many = int(np.ceil(np.log(1 - CAUGHT) / np.log1p(-((1 - bit_share(similar)) ** width))))
+    rng = np.random.default_rng(SEED)
+    return np.stack([np.sort(rng.choice(64 * parts, width, replace=False)) for _ in range(many)])
+
+
+def similar_edges(marks: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): candidates among distinct nodes with their wide fingerprints (node, wide)."""
+    choices, most, spark = bit_choices(n, similar), loose_distance(similar), marks.sparkSession
+    powers = np.int64(1) << np.arange(choices.shape[1], dtype=np.int64)
 
-    Rows are told apart by identifier and text; of rows that repeat both, one stays.
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(wide, axis=1, bitorder="little").astype(np.int64)
+                for k, places in enumerate(choices):
+                    # a choice's keys are apart from the others' by their high bits
+                    bucket = (bits[:, places] @ powers) + (np.int64(k) << np.int64(32))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column("node"), part.column("wide")], names=["bucket", "node", "wide"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("bucket").to_numpy(), b.column("node").to_numpy(), b"".join(b.column("wide").to_pylist())) for b in batches]
+        if parts:
+            bucket, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            whole = np.frombuffer(b"".join(p[2] for p in parts), "<u8").reshape(len(node), PARTS)
+            # the part that the index looks at changes with the choice
+            value = whole[np.arange(len(node)), (bucket >> 32) % PARTS]
+            a, b = bucket_edges(bucket, value, WORD_LINK, whole, most)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    rows = marks.mapInArrow(keys, "bucket long, node long, wide binary")
+    return rows.repartition(scaled(n * len(choices), TASK_ROWS, partitions(spark)), "bucket").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(edges: DataFrame, texts: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """The edges whose nodes' texts (node, text) are as similar, by their distinct shingles."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], names=["node", "set"])
+
+    sets = texts.join(nodes, "node", "left_semi").mapInArrow(hashes, "node long, set binary")
+    pairs = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similar * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, all columns as they came: of each group of near copies the row with the smallest identifier.
+
+    Texts with the same shingles are one from the start. Rows are told apart by identifier and text; of rows that repeat both, one stays.
     """
     mark = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).cast("binary"))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), mark.alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(values.view(np.int64))], names=["doc_id", "key", "fingerprint"])
+            sets = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
+            node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node), pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "key", "node", "wide"])
 
-    marks = kept_on_disk(keyed.mapInArrow(run, "doc_id long, key string, fingerprint long"))
+    marks = kept_on_disk(keyed.mapInArrow(run, "doc_id long, key string, node long, wide binary"))
     # structs compare field by field: rows with an identifier first
-    firsts = marks.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
-    labels = connected(link_edges(firsts.select("fingerprint"), link))
-    placed = firsts.join(labels, firsts["fingerprint"] == labels["node"], "left").select("one", F.coalesce("label", "fingerprint").alias("label"))
+    firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"), F.first("wide").alias("wide"))
+    firsts = kept_on_disk(firsts)
+    edges = cut(similar_edges(firsts.select("node", "wide"), firsts.count(), similar))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = firsts.join(ends, "node", "left_semi").select("node", F.col("one.key").alias("of"))
+    texts = keyed.join(asked, F.col("key") == F.col("of")).groupBy("node").agg(F.first("text").alias("text"))
+    labels = connected(verified(edges, texts, words, similar))
+    placed = firsts.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("one", F.coalesce("label", "node").alias("label"))
     kept = placed.groupBy("label").agg(F.min("one").alias("one")).select("one.key").distinct()
     n = len(docs.columns)
     rows = docs.select("*", mark.alias("mark of the row")).toDF(*(f"c{i}" for i in range(n)), "key")
