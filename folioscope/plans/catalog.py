@@ -61,7 +61,7 @@ def a1_scoped_scan(t):
 
 @query(f"SELECT DISTINCT {norm('p_name')} AS title FROM part WHERE p_size <= 2")
 def a6_identity_scan(t):
-    return library(t).select(X.normalize_text(F.col("p_name")).alias("title")).distinct()
+    return library(t).select(X.normalize_title(F.col("p_name")).alias("title")).distinct()
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_type <> 'view' ORDER BY ts DESC, event_id DESC LIMIT 40")
@@ -119,14 +119,14 @@ def c2_tally_with_metadata(t):
 
 @query(f"WITH w AS (SELECT p_partkey, p_size, {norm('p_name')} AS title, p_brand AS brand FROM part), k AS (SELECT * FROM w WHERE p_size <= 2) SELECT p_partkey FROM w WHERE p_size > 2 AND title NOT IN (SELECT title FROM k) AND brand || p_size NOT IN (SELECT brand || 3 FROM k)")
 def c3_exact_anti(t):
-    rows = t("part").select("p_partkey", "p_size", X.normalize_text(F.col("p_name")).alias("title"), F.concat("p_brand", F.col("p_size").cast("string")).alias("other"), F.concat("p_brand", F.lit("3")).alias("three"))
+    rows = t("part").select("p_partkey", "p_size", X.normalize_title(F.col("p_name")).alias("title"), F.concat("p_brand", F.col("p_size").cast("string")).alias("other"), F.concat("p_brand", F.lit("3")).alias("three"))
     known = rows.where("p_size <= 2").select("title", F.col("three").alias("other"))
     return R.not_known(rows.where("p_size > 2"), known, ["title", "other"]).select("p_partkey")
 
 
 @query(f"SELECT {norm(TITLE)} AS title, min(p_partkey) AS p_partkey FROM part GROUP BY 1 HAVING count(*) = 1")
 def c9_unique_titles(t):
-    return R.unique_lookup(works(t).select(X.normalize_text(F.col("title")).alias("title"), "p_partkey"), "title", "p_partkey")
+    return R.unique_lookup(works(t).select(X.normalize_title(F.col("title")).alias("title"), "p_partkey"), "title", "p_partkey")
 
 
 @query("SELECT s_suppkey, s_name, coalesce(n, 0) AS lines, coalesce(big, 0) AS big_orders, n_name FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey LEFT JOIN (SELECT l_suppkey AS k, count(DISTINCT l_orderkey) AS big FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON k = s_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey")
@@ -354,7 +354,7 @@ def r2_repeated_shingles(t):
 
 @query(f"WITH k AS (SELECT {norm('p_name')} AS title, p_brand || p_size AS doi FROM part WHERE p_size <= 2), a AS (SELECT p_partkey, {norm('p_name')} AS title, CASE WHEN p_partkey % 3 = 0 THEN p_brand || least(p_size, 5) END AS doi FROM part) SELECT p_partkey, CASE WHEN doi IS NOT NULL THEN doi IN (SELECT doi FROM k) ELSE title IN (SELECT title FROM k) END AS known FROM a")
 def c5_exists(t):
-    rows = t("part").select("p_partkey", "p_size", X.normalize_text(F.col("p_name")).alias("title"), F.concat("p_brand", F.col("p_size").cast("string")).alias("own"), F.concat("p_brand", F.least("p_size", F.lit(5)).cast("string")).alias("near"))
+    rows = t("part").select("p_partkey", "p_size", X.normalize_title(F.col("p_name")).alias("title"), F.concat("p_brand", F.col("p_size").cast("string")).alias("own"), F.concat("p_brand", F.least("p_size", F.lit(5)).cast("string")).alias("near"))
     asked = rows.select("p_partkey", "title", F.when(F.col("p_partkey") % 3 == 0, F.col("near")).alias("doi"))
     return S.exists_exact(asked, rows.where("p_size <= 2").select("title", F.col("own").alias("doi")), "p_partkey")
 
