@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+#: Keys of at least this share of all rows are joined by broadcast; there are at most its inverse of them.
+HOT = 1 / 2000
 #: Texts are handed to the Python workers' inner loops in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
 
@@ -51,6 +53,22 @@ def kept_on_disk(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def hot_join(rows: DataFrame, values: DataFrame, key: str, value: str, salt: str) -> DataFrame:
+    """rows with `value` of their key, from values (key, value, many), `many` the rows of each key.
+
+    Keys of a share HOT of all rows or more are few and joined by broadcast; their rows are dealt by `salt` in the other join.
+    """
+    values = kept_on_disk(values)
+    total = values.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    least = max(2.0, total * HOT)
+    hot = values.where(F.col("many") >= least).select(F.col(key).alias("hot key"), F.col(value).alias("hot value"))  # 1 / HOT rows at most
+    rest = values.where(F.col("many") < least).select(F.col(key).alias("rest key"), F.col(value).alias("rest value"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot key"), "left")
+    dealt = marked.withColumn("dealt key", F.when(F.col("hot key").isNull(), F.col(key)).otherwise(F.xxhash64(F.lit("dealt"), salt)))
+    found = dealt.join(rest, (F.col("dealt key") == F.col("rest key")) & F.col("hot key").isNull(), "left")
+    return found.select(*rows.columns, F.coalesce("hot value", "rest value").alias(value))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,68 +1,87 @@
 """Sharding by Karmarkar-Karp differencing: byte-balanced shards of indivisible groups of equal texts.
 
-The groups' bytes are first gathered into at most 2 x shards x FINE items, whatever the size of the table: a group of
-at least 1 / (shards x FINE) of all bytes is an item of its own (so there are at most shards x FINE of these), the others
-meet in shards x FINE hashed bundles. Differencing then runs over the items alone: every item starts as a partial
-partition, the two with the largest spread are combined, the heaviest part of the one with the lightest of the
-other, until one is left. Its parts are the shards.
+Every group is an item. An item starts as a partial partition: its bytes in one part, nothing in the others. The two with the
+largest spread are combined, the heaviest part of the one with the lightest of the other, until one is left, whose parts are the
+shards. Groups are dealt to cells of about CELL by hash and differenced there, each cell in a task; what a cell ends with is a
+partial partition again, and the cells' (at most MOST_CELLS, a sum per shard each) are differenced in the driver in the same way.
 
 Slots number each shard's documents without gaps: a running count inside hashed chunks of the shard, after the counts of
 the chunks before, so neither a shard nor a hot group meets in one task.
 
 Defined results: a null text has size 16, crc32 0 and forms one group with other null texts, apart from empty ones; rows that
-repeat go to the same shard, each with its own slot; null identifiers are rows like any other; an empty table gives an
-empty result. Only identifier and text are read.
+repeat go to the same shard, each with its own slot; null identifiers are rows like any other; texts of one 64-bit hash are one
+group, as equal texts are; an empty table gives an empty result. Only identifier and text are read.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from folioscope.llm.common import kept_on_disk, scaled, table
+from folioscope.llm.common import hot_join, kept_on_disk, scaled, table
 
 SHARDS = 40
-#: Items per shard that differencing can tell apart.
-FINE = 128
+#: Groups in a cell, about, unless that makes more than MOST_CELLS.
+CELL, MOST_CELLS = 20_000, 20_000
 #: Rows that a chunk of a shard holds, about.
 CHUNK_ROWS = 20_000
 
 
-def differencing(weights: list[int], k: int) -> list[int]:
-    """A part in 0..k-1 for each weight."""
-    if not weights:
+def partition(items: list, k: int) -> list[np.ndarray]:
+    """For each item the parts (0..k-1) that its own parts become. An item: a weight, which is its part k - 1, or k sums."""
+    if not items:
         return []
-    order = sorted(range(len(weights)), key=lambda i: (-weights[i], i))
-    # a partial partition: its parts' sums in ascending order, and for each part the items it holds as a linked list
-    heap: list = []
-    for n, i in enumerate(order):
-        heap.append((-weights[i], n, [0] * (k - 1) + [weights[i]], [None] * (k - 1) + [(i, None, None)]))
+    heap, orders = [], []
+    for i, item in enumerate(items):
+        sums = np.zeros(k, np.int64)
+        if np.ndim(item):
+            orders.append(np.argsort(item, kind="stable"))
+            sums = np.asarray(item, np.int64)[orders[-1]]
+        else:
+            orders.append(None)
+            sums[-1] = item
+        heap.append((int(sums[0] - sums[-1]), i, sums, i))
     heapq.heapify(heap)
-    turn = len(order)
+    turn, back = len(items), np.arange(k)[::-1]
     while len(heap) > 1:
-        _, _, sums, parts = heapq.heappop(heap)
-        _, _, others, more = heapq.heappop(heap)
-        joined = sorted(((a + b, j) for j, (a, b) in enumerate(zip(sums, reversed(others), strict=True))))
-        held = [parts[j] if more[k - 1 - j] is None else more[k - 1 - j] if parts[j] is None else (None, parts[j], more[k - 1 - j]) for _, j in joined]
-        low = joined[0][0]
-        heapq.heappush(heap, (low - joined[-1][0], turn, [s - low for s, _ in joined], held))
+        _, _, a, left = heapq.heappop(heap)
+        _, _, b, right = heapq.heappop(heap)
+        joined = a + b[::-1]
+        order = np.argsort(joined, kind="stable")
+        place = np.empty(k, np.int16)
+        place[order] = np.arange(k)
+        sums = joined[order]
+        sums -= sums[0]
+        heapq.heappush(heap, (-int(sums[-1]), turn, sums, (left, right, place)))
         turn += 1
-    part_of = [0] * len(weights)
-    for part, tree in enumerate(heap[0][3]):
-        stack = [tree] if tree else []
-        while stack:
-            item, left, right = stack.pop()
-            if item is not None:
-                part_of[item] = part
-            stack += [x for x in (left, right) if x]
-    return part_of
-
-
-def shard_documents(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    out: list = [None] * len(items)
+    stack = [(heap[0][3], np.arange(k))]
+    while stack:
+        node, to = stack.pop()
+        if isinstance(node, int):
+            if orders[node] is not None:
+                own = np.empty(k, np.int64)
+                own[orders[node]] = to
+                to = own
+            out[node] = to
+        else:
+            left, right, place = node
+            stack += [(left, to[place]), (right, to[place[back]])]
+    return out
+
+
+def differencing(weights: list[int], k: int) -> list[int]:
+    """A part in 0..k-1 for each weight."""
+    return [int(to[-1]) for to in partition([int(w) for w in weights], k)]
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of docs."""
     spark, text = docs.sparkSession, F.col("text")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -70,22 +89,28 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, id_
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"\0")).alias("same"),
+        F.xxhash64(text).alias("code"),
     ))
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    bundles = shards * fine
-    least = max(1, -(-total // bundles))
-    groups = rows.groupBy("same").agg(F.sum("size").alias("bytes"))
-    large = groups.where(F.col("bytes") >= least).select("same", F.lit(True).alias("large"))
-    # at most `bundles` groups can hold that share of the bytes, which bounds what is broadcast
-    with_item = rows.join(F.broadcast(large), "same", "left").withColumn(
-        "item", F.when(F.col("large"), F.hex("same")).otherwise(F.pmod(F.xxhash64("same"), F.lit(bundles)).cast("string"))
-    )
-    weights = [(r[0], int(r[1])) for r in with_item.groupBy("item").agg(F.sum("size")).orderBy("item").collect()]  # 2 x bundles rows at most
-    parts = differencing([w for _, w in weights], shards)
-    plan = spark.createDataFrame([(item, part) for (item, _), part in zip(weights, parts, strict=True)], T.StructType([T.StructField("item", T.StringType()), T.StructField("shard", T.IntegerType())]))
+    groups = kept_on_disk(rows.groupBy("code").agg(F.sum("size").alias("bytes"), F.count("*").alias("many")))
+    n, cells = rows.count(), min(MOST_CELLS, scaled(groups.count(), CELL, 1))
+
+    def difference(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("bytes", "descending"), ("code", "ascending")])
+        return part.append_column("part", pa.array(differencing(part.column("bytes").to_pylist(), shards), pa.int32()))
+
+    cell = F.pmod(F.xxhash64("code", F.lit(7)), F.lit(cells)).cast("int")
+    parts = groups.select(cell.alias("cell"), "code", "bytes", "many").groupBy("cell").applyInArrow(difference, "cell int, code long, bytes long, many long, part int")
+    parts = kept_on_disk(parts)
+    sums: dict[int, np.ndarray] = {}
+    for r in parts.groupBy("cell", "part").agg(F.sum("bytes").alias("bytes")).orderBy("cell", "part").collect():  # MOST_CELLS x shards rows at most
+        sums.setdefault(r["cell"], np.zeros(shards, np.int64))[r["part"]] = r["bytes"]
+    where = partition(list(sums.values()), shards)
+    plan = [(c, p, int(to[p])) for c, to in zip(sums, where, strict=True) for p in range(shards)]
+    plan = spark.createDataFrame(plan, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType())]))
+    assigned = parts.join(F.broadcast(plan), ["cell", "part"]).select("code", "shard", "many")
+    dealt = hot_join(rows, assigned, "code", "shard", "doc_id")
     chunks = scaled(n, CHUNK_ROWS * shards, 16)
-    placed = with_item.join(F.broadcast(plan), "item").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).alias("chunk"))
+    placed = dealt.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).alias("chunk"))
     before = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = before.select("shard", "chunk", (F.sum("n").over(W.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("before"))
     own = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioscope.llm.common import cut, id_and_text, kept_on_disk, partitions, scaled, table
+from folioscope.llm.common import cut, hot_join, id_and_text, kept_on_disk, partitions, scaled, table
 
 WORDS = 4
 LINK = 4
@@ -50,8 +50,6 @@ FRONTIER = 1 << 20
 SIMILAR_WORDS, SIMILAR, PARTS, WORD_LINK, CAUGHT = 5, 0.8, 8, 18, 0.99
 #: Standard deviations above the distance expected at SIMILAR within which texts are compared.
 SPREAD = 2.5
-#: Labels and fingerprints of at least this share of all rows are joined by broadcast; there are at most its inverse of them.
-HOT = 1 / 2000
 #: Edges per file of the checkpoints between rounds, and files at least (where there are as many partitions).
 CUT_ROWS, CUT_PARTS = 250_000, 8
 
@@ -267,22 +265,6 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("low").alias("node"), F.col("high").alias("label"))
 
 
-def hot_join(rows: DataFrame, values: DataFrame, key: str, value: str, salt: str) -> DataFrame:
-    """rows with `value` of their key, from values (key, value, many), `many` the rows of each key.
-
-    Keys of a share HOT of all rows or more are few and joined by broadcast; their rows are dealt by `salt` in the other join.
-    """
-    values = kept_on_disk(values)
-    total = values.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
-    least = max(2.0, total * HOT)
-    hot = values.where(F.col("many") >= least).select(F.col(key).alias("hot key"), F.col(value).alias("hot value"))  # 1 / HOT rows at most
-    rest = values.where(F.col("many") < least).select(F.col(key).alias("rest key"), F.col(value).alias("rest value"))
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot key"), "left")
-    dealt = marked.withColumn("dealt key", F.when(F.col("hot key").isNull(), F.col(key)).otherwise(F.xxhash64(F.lit("dealt"), salt)))
-    found = dealt.join(rest, (F.col("dealt key") == F.col("rest key")) & F.col("hot key").isNull(), "left")
-    return found.select(*rows.columns, F.coalesce("hot value", "rest value").alias(value))
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, link: int = LINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (long), component_id: the smallest identifier that links reach."""
     marks = kept_on_disk(fingerprints(docs, words, id_col, text_col))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from folioscope.llm import byte_bpe, exact_dedup, language_id, mixing, pii, sharding, simhash, token_files, topk, toxicity
+from folioscope.llm import byte_bpe, common, exact_dedup, language_id, mixing, pii, sharding, simhash, token_files, topk, toxicity
 from folioscope.llm.common import new_folder
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -223,6 +223,33 @@ def test_shards(spark, docs, rows):
     assert all(len({r.shard for r in got if (r.size, r.text_crc32) == k}) == 1 for k in {(r.size, r.text_crc32) for r in got if r.size > 16})
 
 
+def test_partial_partitions():
+    """Differencing of partial partitions: each keeps its parts whole and apart, whatever part of the result they become."""
+    rng = np.random.default_rng(6)
+    items = [np.sort(rng.integers(0, 1000, 7)) if i % 3 else int(rng.integers(1, 4000)) for i in range(200)]
+    sums = np.zeros(7, np.int64)
+    for item, to in zip(items, sharding.partition(items, 7), strict=True):
+        assert sorted(to.tolist()) == list(range(7))
+        np.add.at(sums, to, np.array([0] * 6 + [item]) if isinstance(item, int) else item)
+    assert sums.max() - sums.min() < 0.002 * sums.mean()
+
+
+def test_cells_of_groups(spark, monkeypatch):
+    """Many cells, and one group with a third of all bytes: groups stay whole, and the others balance as far as that group lets them."""
+    monkeypatch.setattr(sharding, "CELL", 40)
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randint(1, 500)) for i in range(900)] + [(1000 + i, "hot " * 50) for i in range(400)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=6).collect()
+    text, of, sums = dict(rows), defaultdict(set), Counter()
+    for r in got:
+        of[text[r.doc_id]].add(r.shard)
+        sums[r.shard] += r.size
+    assert len(got) == 1300 and all(len(s) == 1 for s in of.values())
+    (hot,) = of["hot " * 50]
+    others = [v for k, v in sums.items() if k != hot]
+    assert len(sums) == 6 and max(others) - min(others) < 0.02 * max(others)
+
+
 def test_shards_are_even(spark):
     got = sharding.op4_sharding(spark, "/root/testdata/sf0.01").groupBy("shard").agg(F.sum("size").alias("n")).collect()
     n = [r.n for r in got]
@@ -597,7 +624,7 @@ def test_near_copies_of_many_kinds(spark):
 def test_hot_join(spark):
     rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(900)] + [(None, 5), (1001, 777_777)], "doc_id long, k long")
     values = rows.where("k <> 777777").groupBy("k").agg(F.min("doc_id").alias("low"), F.count("*").alias("many"))
-    got = simhash.hot_join(rows, values, "k", "low", "doc_id")
+    got = common.hot_join(rows, values, "k", "low", "doc_id")
     low = {r.k: r.low for r in values.collect()}
     assert got.columns == ["doc_id", "k", "low"]
     same_rows(got.collect(), [(r.doc_id, r.k, low.get(r.k)) for r in rows.collect()])
@@ -655,6 +682,30 @@ def test_toxicity(spark, docs, small):
     assert all(r.severity == 0 for r in none)
 
 
+def brute_score(model, text):
+    """Severity, P(grade > 0) and grade of a text, one feature at a time."""
+    z = 0.0
+    counts = Counter(c for w in toxicity.words_of((text or "").encode()) for c in toxicity.features_of(w))
+    for code, weight in model.weights.items():
+        z += weight * (float(any(c in counts for c in model.typical)) if code == toxicity.ANY else np.log1p(counts[code]))
+    above = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+    each = -np.diff([1.0, *above, 0.0])
+    return sum(above), above[0], int(np.argmax(each))
+
+
+def test_severity_by_brute_force(spark, docs, rows, small):
+    """Every score recomputed, ties, repeated rows, nulls and long texts included; grades of the fit are the labels' own."""
+    table, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.fit(table, labels)
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    for frame, texts in ((docs, [(r[0], r[1]) for r in rows]), (table, [(r.doc_id, r.text) for r in table.collect()])):
+        got = toxicity.severity(frame, model).collect()
+        expected = [(i, *brute_score(model, text)) for i, text in texts]
+        key = lambda r: (r[0] is None, r[0] or 0, round(r[1], 6))
+        for a, b in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
+            assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-9) and a[2] == pytest.approx(b[2], abs=1e-9) and a[3] == b[3] and a[4] == (b[2] >= 0.5)
+
+
 def test_small_language_keeps_its_typical_words(spark):
     """Eight toxic rows of one language among 500 toxic rows of another; no word occurs in both languages."""
     rng, rows = np.random.default_rng(6), []
