@@ -3,9 +3,9 @@
 P(grade <= k | x) = sigmoid(threshold_k - w . x): one weight vector shared by all thresholds, which are kept in order. The
 output is the expected severity, the sum over k of P(grade > k); a document is toxic when P(grade > 0) reaches REJECT.
 
-Fitting uses a bounded sample of labelled rows (TRAIN_DOCS, in expectation, by a hash of the identifier). Labels say toxic
-or not; the grade of a toxic row is 1 to GRADES by how many words typical of toxic rows it has (the sum of their log counts),
-cut at the sample's quantiles. Features are the log counts of the VOCABULARY words and word stems most associated with the label, and whether any typical one occurs, where copies and near copies
+Fitting uses a bounded sample of labelled rows (TRAIN_DOCS, in expectation, by a hash of the identifier). Grades come from the
+labels alone, never from the text: 0 is not toxic, 1 toxic, 2 toxic and of low quality, as the labels have no finer scale; without a
+column for quality there are two grades. Features are the log counts of the VOCABULARY words and word stems most associated with the label, and whether any typical one occurs, where copies and near copies
 (rows with the same SKETCH minimum hashes of word pairs) count once. Prediction reads every text whole.
 
 Defined results: null and empty texts have no features and get the base rate's severity; null labels are ignored and of several
@@ -30,7 +30,7 @@ from folioscope.llm.common import id_and_text, kept_on_disk, table
 
 TRAIN_DOCS = 6_000
 VOCABULARY = 1_000
-GRADES = 3
+GRADES = 2
 REJECT = 0.5
 SEED = 42
 #: A word must be typical by this chi-square value and occur in so many rows: a count, as a share of all rows would shut out small languages.
@@ -123,9 +123,11 @@ class Model:
         return float(above.sum()), float(above[0]), int(np.argmax(each))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    marks = labels.select(F.col(id_col).cast("long").alias("of"), F.col(label_col).cast("int").alias("toxic")).where("of is not null and toxic is not null")
-    marks = marks.groupBy("of").agg(F.max("toxic").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", quality_col: str = "quality") -> Model:
+    toxic = F.col(label_col).cast("int")
+    worse = F.coalesce(F.col(quality_col).cast("int") == 0, F.lit(False)) if quality_col in labels.columns else F.lit(False)
+    marks = labels.select(F.col(id_col).cast("long").alias("of"), F.when(toxic > 0, 1 + worse.cast("int")).when(toxic.isNotNull(), 0).alias("grade")).where("of is not null and grade is not null")
+    marks = marks.groupBy("of").agg(F.max("grade").alias("grade"))
     n = marks.count()
     marks = marks.where(F.pmod(F.xxhash64("of", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30) < train_docs / max(1, n))
     # about train_docs rows of 12 bytes, whatever the size of the tables
@@ -134,13 +136,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words_of(t.as_py()) for t in batch.column("text")]
-            bad = [t > 0 for t in batch.column("toxic").to_pylist()]
-            arrays = [pa.array(bad, pa.bool_()), pa.array([signature(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([list(Counter(f).items()) for f in found], pa.map_(pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "sig", "n", "words"])
+            arrays = [batch.column("grade"), pa.array([signature(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([list(Counter(f).items()) for f in found], pa.map_(pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["grade", "sig", "n", "words"])
 
-    every = rows.select("toxic", "text").mapInArrow(words, "toxic boolean, sig long, n long, words map<string,long>")
-    sample = kept_on_disk(every.groupBy("sig", "toxic").agg(F.min_by("words", "n").alias("words")).coalesce(4))
-    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    every = rows.select("grade", "text").mapInArrow(words, "grade int, sig long, n long, words map<string,long>")
+    sample = kept_on_disk(every.groupBy("sig", "grade").agg(F.min_by("words", "n").alias("words")).coalesce(4))
+    sizes = {r[0]: r[1] for r in sample.groupBy(F.col("grade") > 0).count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         sample.unpersist()
         return Model({}, np.zeros(0))
@@ -148,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for bad, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                seen[bad].update({c for w, _ in own for c in features_of(w)})
+            for grade, own in zip(batch.column("grade").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                seen[grade > 0].update({c for w, _ in own for c in features_of(w)})
         codes = list(seen[0].keys() | seen[1].keys())
         if codes:
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array([seen[1][c] for c in codes], pa.float64()), pa.array([seen[0][c] for c in codes], pa.float64())], names=["code", "a", "b"])
@@ -174,21 +175,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
                         if code in place:
                             hits[code] += k
                 own.append(list(hits.items()))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.map_(pa.int64(), pa.int64()))], names=["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(own, pa.map_(pa.int64(), pa.int64()))], names=["grade", "x"])
 
-    got = sample.select("toxic", "words").mapInArrow(features, "toxic boolean, x map<long,long>").collect()  # the bounded sample, VOCABULARY counts a row at most
+    got = sample.select("grade", "words").mapInArrow(features, "grade int, x map<long,long>").collect()  # the bounded sample, VOCABULARY counts a row at most
     sample.unpersist()
-    got = sorted(got, key=lambda r: (r["toxic"], sorted(r["x"].items())))
+    got = sorted(got, key=lambda r: (r["grade"], sorted(r["x"].items())))
     x = np.zeros((len(got), len(place) + 1))
-    mass = np.zeros(len(got))
     for i, r in enumerate(got):
         for code, k in r["x"].items():
             x[i, place[code]] = np.log1p(k)
-            mass[i] += np.log1p(k) * (code in typical)
-    x[:, -1] = mass > 0
-    toxic = np.array([r["toxic"] for r in got])
-    cuts = np.quantile(mass[toxic], [k / GRADES for k in range(1, GRADES)])
-    y = np.where(toxic, 1 + np.searchsorted(cuts, mass, side="left"), 0)
+        x[i, -1] = not typical.isdisjoint(r["x"])
+    y = np.array([r["grade"] for r in got])
     w, t = fit_ordinal(x, y, GRADES)
     return Model(dict(zip([*place, ANY], w.tolist(), strict=True)), t, typical)
 
