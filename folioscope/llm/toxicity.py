@@ -37,7 +37,7 @@ SEED = 42
 LEAST_CHI2, LEAST_ROWS = 40.0, 5
 STEPS, RATE, L2 = 600, 0.1, 1e-4
 #: Code of the feature that any typical feature occurs; typical ones occur in toxic rows to this share.
-ANY, PURE = -1, 0.9
+ANY, PURE = -1, 0.95
 #: Hashes of word pairs that rows share to count once.
 SKETCH = 4
 #: Lengths of stems.
