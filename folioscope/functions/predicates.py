@@ -49,6 +49,11 @@ def matches(hay: Column, clauses: list[list[tuple[bool, str]]]) -> Column:
     return reduce(or_, (reduce(and_, (literal(*x) for x in clause)) for clause in clauses), F.lit(False)) if clauses else F.lit(True)
 
 
+def once(value: Column, make) -> Column:
+    """make(value) with the value worked out once a row, however often `make` names it: filters would repeat it otherwise."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def any_of(hay: Column, *terms: str) -> Column:
     return reduce(or_, (F.contains(hay, F.lit(t.lower())) for t in terms), F.lit(False))
 

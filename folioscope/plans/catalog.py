@@ -292,14 +292,13 @@ def h24_year(t):
 
 @query(f"SELECT doc_id FROM documents WHERE (contains({norm('text')}, 'the') AND NOT contains({norm('text')}, 'of the')) OR contains({norm('text')}, 'der die')")
 def i2_boolean_search(t):
-    return t("documents").where(P.matches(X.normalize_text(F.col("text")), P.parse_query('the -"of the" OR "der die"'))).select("doc_id")
+    return t("documents").where(P.once(X.normalize_text(F.col("text")), lambda hay: P.matches(hay, P.parse_query('the -"of the" OR "der die"')))).select("doc_id")
 
 
 @query(f"WITH d AS (SELECT doc_id, substring({norm('text')}, 1, 60) AS title, {norm('text')} AS hay FROM documents) SELECT doc_id, CASE WHEN title = 'of the' THEN 400 WHEN contains(title, 'of the') THEN 300 ELSE 0 END + CASE WHEN contains(substring(hay, 1, 1200), 'of the') THEN 90 WHEN contains(hay, 'of the') THEN 60 ELSE 0 END + CASE WHEN contains(title, 'of') THEN 45 ELSE 0 END + CASE WHEN contains(title, 'the') THEN 45 ELSE 0 END + CASE WHEN contains(substring(hay, 1, 1200), 'of') THEN 12 ELSE 0 END + CASE WHEN contains(substring(hay, 1, 1200), 'the') THEN 12 ELSE 0 END + CASE WHEN contains(title, 'of') AND contains(title, 'the') THEN 200 ELSE 0 END AS rel FROM d")
 def i4_relevance(t):
-    hay = X.normalize_text(F.col("text"))
-    d = t("documents").select("doc_id", hay.alias("hay")).withColumn("title", F.substring("hay", 1, 60))
-    return d.select("doc_id", P.relevance(F.col("title"), F.col("hay"), P.parse_query("of the"), "of the").alias("rel"))
+    rel = P.once(X.normalize_text(F.col("text")), lambda hay: P.relevance(F.substring(hay, 1, 60), hay, P.parse_query("of the"), "of the"))
+    return t("documents").select("doc_id", rel.alias("rel"))
 
 
 @query("SELECT doc_id FROM documents WHERE (CAST(contains(lower(text), 'und') AS INTEGER) + CAST(contains(lower(text), 'die') AS INTEGER) + CAST(contains(lower(text), 'the') AS INTEGER)) >= 2 AND NOT contains(lower(text), 'xyz')")
@@ -345,7 +344,7 @@ def o5_upsert(t):
 @query("SELECT doc_id, round(1 - count(DISTINCT s) / count(*), 6) AS rate FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS s FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS w FROM documents) WHERE len(w) >= 6) GROUP BY 1")
 def r2_repeated_shingles(t):
     w = t("documents").select("doc_id", F.split(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), " ").alias("w")).where("size(w) >= 6")
-    s = w.select("doc_id", F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")).alias("s"))
+    s = w.select("doc_id", F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.struct(F.xxhash64(F.slice("w", i, 6)).alias("a"), F.xxhash64(F.lit(1), F.slice("w", i, 6)).alias("b"))).alias("s"))
     return s.select("doc_id", F.round(1 - F.size(F.array_distinct("s")) / F.size("s"), 6).alias("rate"))
 
 
