@@ -92,3 +92,26 @@ def i7_title_search(spark, sf_dir):
 def i8_pasted_id(spark, sf_dir):
     """A pasted identifier comes first."""
     return Q.title_search(pool(spark, sf_dir), "10 1000 p7", ["p_partkey"])[0].select("p_partkey", "rel")
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up reference list of each part: one entry by title, one by DOI, which a third repeats."""
+    text = F.expr("'[1] Doe, A. (1990). On the ' || p_name || ' number ' || p_partkey || '. Journal of Parts, 3, 1-2.\n[2] B. Roe, \"Second ' || p_type || ' of ' || p_partkey || ',\" Parts Letters, 2001. https://doi.org/10.1000/p' || p_partkey || '\n[3] Again. 2001. doi:10.1000/p' || p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.alias("text"))
+
+
+@rows_only
+def j11_references(spark, sf_dir):
+    """The lists' entries."""
+    from folioscope.operators.references import parsed_references
+
+    return parsed_references(cited(spark, sf_dir), "p_partkey", "text")
+
+
+@rows_only
+def j12_resolved(spark, sf_dir):
+    """The entries in the library: by DOI, or by title."""
+    rows = j11_references(spark, sf_dir).select(F.concat_ws(":", "key", F.col("n").cast("string")).alias("key"), "doi", X.normalize_title(F.col("title")).alias("title"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pool_ = parts.select(F.concat(F.lit("10.1000/p"), "p_partkey").alias("doi"), X.normalize_title(F.expr("'On the ' || p_name || ' number ' || p_partkey")).alias("title"), F.col("p_partkey").alias("place"))
+    return Q.pool_match(rows, pool_, "key")
