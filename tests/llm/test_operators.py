@@ -266,6 +266,38 @@ def test_language(spark, docs, small):
     assert all(found[i].nearest == "und" and found[i].score == 0 for i in (0, 6, 12, 15)) and found[18].nearest in ("en", "fr")
 
 
+def brute_language(model, text):
+    """Nearest language and cosine, n-gram by n-gram."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    words = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).encode().split()
+    data, counts, shift = b" " + b" ".join(words) + b" ", Counter(), 32 - language_id.DIMS.bit_length() + 1
+    for i in range(len(data)):
+        code = 0
+        for byte in data[i : i + 3]:
+            code = ((code << 8) + byte + 1) & 0xFFFFFFFF
+            counts[(code * 2654435761 & 0xFFFFFFFF) >> shift] += 1
+    v = {d: np.log1p(n) * float(model.idf[d]) for d, n in counts.items()}
+    norm = sum(x * x for x in v.values()) ** 0.5
+    scores = [sum(x * float(c[d]) for d, x in v.items()) / norm for c in model.centres]
+    best = int(np.argmax(scores))
+    return model.langs[best], min(max(scores[best], 0.0), 1.0)
+
+
+def test_language_by_brute_force(spark, docs, rows, small):
+    """Every prediction recomputed: nulls, texts without letters, repeated and very long texts; held-out rows by their own hash."""
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit(table)
+    assert len(model.centres) <= 4 * language_id.CENTROIDS
+    for frame, texts in ((docs, [(r[0], r[1]) for r in rows]), (table, [(r.doc_id, r.text) for r in table.collect()])):
+        got = sorted(((r.doc_id, r.nearest, r.score) for r in language_id.identify(frame, model).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+        expected = sorted(((i, *brute_language(model, t)) for i, t in texts), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+        assert [r[:2] for r in got] == [r[:2] for r in expected]
+        assert max(abs(a[2] - b[2]) for a, b in zip(got, expected, strict=True)) < 1e-4
+    found = language_id.op5_language_id(spark, small).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+
+
 # 6: byte-level BPE
 
 
