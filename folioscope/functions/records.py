@@ -221,3 +221,19 @@ def text_layer_ok(c: Column) -> Column:
     """Whether a text layer can stand without recognition: short ones as plain labels, others neither garbled nor unspaced."""
     label = F.rlike(text_or_empty(c), F.lit(r"^[A-Za-z0-9 ().,:;\[\]\-–]*[A-Za-z0-9][A-Za-z0-9 ().,:;\[\]\-–]*$"))
     return F.when(F.length(text_or_empty(c)) < LEAST_TEXT, label).otherwise(~garbled(c) & ~unspaced(c))
+
+
+def citation(names: Column, year: Column, title: Column, journal: Column, doi: Column) -> Column:
+    """Author-year citation: up to two family names, or the first and et al.; parts that are missing are left out."""
+    families = F.transform(F.filter(names, lambda n: text_or_empty(n) != ""), lambda n: split_name(n)["family"])
+    who = F.when(F.size(families) > 2, F.concat(F.get(families, F.lit(0)), F.lit(" et al."))).otherwise(F.array_join(families, " & "))
+    part = lambda c, tail: F.when(text_or_empty(c) != "", F.concat(c, F.lit(tail)))
+    when = F.concat(F.lit("("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit(")."))
+    return F.concat_ws(" ", F.nullif(who, F.lit("")), when, part(F.regexp_replace(title, r"\.+$", ""), "."), part(journal, "."), F.concat(F.lit("https://doi.org/"), F.nullif(doi, F.lit(""))))
+
+
+def caption_match(c: Column, strong: list[str], weak: list[str], least: int = 2) -> Column:
+    """Whether a caption has a strong keyword, or `least` different weak ones, each as words of their own whatever their case."""
+    has = lambda word: F.rlike(F.lower(text_or_empty(c)), F.lit(rf"(?<![\w-]){word.lower()}(?![\w-])"))
+    any_strong = reduce(lambda a, w: a | has(w), strong, F.lit(False))
+    return any_strong | (reduce(lambda a, w: a + has(w).cast("int"), weak, F.lit(0)) >= least)

@@ -310,3 +310,36 @@ def like_titles(rows: DataFrame, a: str, b: str, least: float = 0.85) -> DataFra
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, fields + ", ok boolean")
+
+
+def links_by_signature(rows: DataFrame, tabs: DataFrame) -> DataFrame:
+    """Rows of a sheet (sig, ...) with the links (sig, tab, links) of the tab that shares most row signatures with it, the first by name on ties; a signature that repeats keeps its first links."""
+    best = tabs.join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("tab").agg(F.count_distinct("sig").alias("n")).orderBy(F.desc("n"), "tab").limit(1).select("tab")
+    own = tabs.join(F.broadcast(best), "tab", "left_semi").groupBy(F.col("sig").alias("_s")).agg(F.min("links").alias("links"))
+    return rows.join(own, F.col("sig") == F.col("_s"), "left").drop("_s")
+
+
+def row_signature(*cells: Column) -> Column:
+    """What tells a sheet's row from others: its cells, trimmed, one after the other."""
+    return F.concat_ws("\u001f", *(collapse(text_or_empty(c)) for c in cells))
+
+
+def markdown_table(rows: DataFrame, columns: list[str], order: list[Column], title: str) -> DataFrame:
+    """One text: a heading and the rows as a Markdown table in order. For reports, whose rows are bounded before."""
+    head = f"# {title}\n\n| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.regexp_replace(text_or_empty(F.col(c).cast("string")), r"[|\r\n]+", " ") for c in columns)), F.lit(" |"))
+    placed = rows.withColumn("_n", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order))).select("_n", line.alias("_l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_l"))), lambda x: x["_l"]), "\n")
+    return placed.agg(F.concat(F.lit(head), body).alias("report"))
+
+
+def crawl_seeds(works: DataFrame, hits: Column, least: int) -> DataFrame:
+    """Works to start a crawl from, with their first score: hits and a share of the citations' logarithm."""
+    return works.withColumn("hits", hits).where(F.col("hits") >= least).withColumn("score", F.round(F.col("hits") + 0.4 * F.log10(F.coalesce("cites", F.lit(0)) + 1), 3))
+
+
+def late_arrivals(now: DataFrame, offered: DataFrame, key: str, file: str) -> DataFrame:
+    """Keys whose file has come since they were first offered without one, and that this session has not offered again."""
+    first = offered.where(F.col("with_file") == F.lit(False)).select(key).distinct()
+    again = offered.where("again").select(key).distinct()
+    return now.where(text_or_empty(F.col(file)) != "").join(first, key, "left_semi").join(again, key, "left_anti").select(key)

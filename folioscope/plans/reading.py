@@ -373,3 +373,46 @@ def r6_like_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether renamed parts still have much of their title."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.reverse("p_name")).alias("other"))
     return Q.like_titles(rows, "p_name", "other")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'van Berg & Roe (' || (1950 + p_size) || '). ' || p_name || '. Parts. https://doi.org/10.1/p' WHEN 1 THEN 'Berg et al. (n.d.). ' || p_name || '.' ELSE '(n.d.). ' || p_name || '.' END AS citation FROM part")
+def h18_citation(t):
+    from folioscope.functions import records as B
+
+    k = F.col("p_partkey") % 3
+    names = F.when(k == 0, F.array(F.lit("Jan van Berg"), F.lit("Ann Roe"))).when(k == 1, F.array(F.lit("A Berg"), F.lit("B"), F.lit("C"))).otherwise(F.array(F.lit("")))
+    return t("part").select("p_partkey", B.citation(names, F.when(k == 0, 1950 + F.col("p_size")), F.concat("p_name", F.lit(".")), F.when(k == 0, "Parts"), F.when(k == 0, "10.1/p")).alias("citation"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(p_name, 'anvil') OR (contains(p_name, 'red') AND contains(p_name, 'ring'))")
+def j14_captions(t):
+    from folioscope.functions import records as B
+
+    return t("part").where(B.caption_match(F.upper("p_name"), ["Anvil"], ["red", "ring", "anv"])).select("p_partkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'l' || p_partkey END AS links FROM part")
+def a10_links_by_signature(t):
+    sig = Q.row_signature("p_name", "p_brand", F.col("p_partkey").cast("string"))
+    rows = t("part").select("p_partkey", sig.alias("sig"))
+    tab = lambda test, name: rows.where(test).select("sig", F.lit(name).alias("tab"), F.concat(F.lit(name[0]), "p_partkey").alias("links"))
+    return Q.links_by_signature(rows, tab("p_partkey % 2 = 0", "large").unionByName(tab("p_partkey % 5 = 1", "small"))).select("p_partkey", "links")
+
+
+@query("SELECT '# Top' || chr(10) || chr(10) || '| p_partkey | p_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' |', chr(10) ORDER BY p_retailprice DESC, p_partkey) AS report FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 30)")
+def a17_report(t):
+    order = [F.desc("p_retailprice"), F.asc("p_partkey")]
+    return Q.markdown_table(t("part").orderBy(*order).limit(30), ["p_partkey", "p_name"], order, "Top")
+
+
+@query("SELECT p_partkey, hits, round(hits + 0.4 * log10(p_size + 1), 3) AS score FROM (SELECT p_partkey, p_size, CAST(contains(p_name, 'red') AS INTEGER) + CAST(contains(p_name, 'ring') AS INTEGER) AS hits FROM part) WHERE hits >= 1")
+def n2_seeds(t):
+    hits = F.contains("p_name", F.lit("red")).cast("int") + F.contains("p_name", F.lit("ring")).cast("int")
+    return Q.crawl_seeds(t("part").withColumn("cites", F.col("p_size")), hits, 1).select("p_partkey", "hits", "score")
+
+
+@query("SELECT p_partkey AS key FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0 AND p_partkey % 5 > 0")
+def o3_late_arrivals(t):
+    rows = t("part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 2 == 0, "x.pdf").otherwise("").alias("file"))
+    offered = rows.select("key", (F.col("key") % 3 > 0).alias("with_file"), F.lit(False).alias("again")).unionByName(rows.where("key % 5 = 0").select("key", F.lit(True).alias("with_file"), F.lit(True).alias("again")))
+    return Q.late_arrivals(rows, offered, "key", "file")

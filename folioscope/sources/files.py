@@ -19,8 +19,8 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.concat_ws("", *(F.trim(F.col(f"`{c}`")) for c in rows.columns)) != "")
 
 
-def write_sheet(df: DataFrame, path: str) -> None:
-    """A CSV with a header; lists are joined by '; ' and line breaks folded to one space."""
+def write_sheet(df: DataFrame, path: str, bom: bool = False) -> None:
+    """A CSV with a header; lists are joined by '; ' and line breaks folded to one space. With `bom` every file begins with the byte order mark that spreadsheets look for."""
     def cell(field: StructField) -> Column:
         c = F.col(f"`{field.name}`")
         text = F.array_join(c, "; ") if isinstance(field.dataType, ArrayType) else c
@@ -28,7 +28,9 @@ def write_sheet(df: DataFrame, path: str) -> None:
             text = F.regexp_replace(text, r"\s*[\r\n]+\s*", " ")
         return text.alias(field.name)
 
-    df.select(*(cell(f) for f in df.schema)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows = df.select(*(cell(f) for f in df.schema))
+    rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]) if bom else rows
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def save_index(df: DataFrame, path: str, version: int) -> None:
