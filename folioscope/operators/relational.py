@@ -105,11 +105,11 @@ def three_way(base: DataFrame, mine: DataFrame, theirs: DataFrame, key: str) ->
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Works reached from the seeds: hops and links from works reached before, level by level."""
+    """Works reached from the seeds: hops and links from works reached before, level by level. Links that repeat count once."""
     reached = seeds.select(F.col("id"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("in_links"))
     level = reached
     for hop in range(1, depth + 1):
-        found = edges.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_links"))
+        found = edges.join(level.select(F.col("id").alias("src")), "src").select("src", "dst").distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_links"))
         level = found.join(reached.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"), "in_links")
         reached = reached.unionByName(level)
     return reached
