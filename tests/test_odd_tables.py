@@ -9,10 +9,11 @@ from folioscope.plans import catalog
 
 PAGES = [(1, "http://a.org/x", ""), (2, "http://a.org/x", ""), (3, "http://a.org/x", ""), (6, "https://www.A.org/x/", ""), (9, None, ""), (10, None, ""), (None, "http://b.org", "")]
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+LINKS = [(1, None, 3, 1, 2.0, "R", "F"), (1, 7, 4, 2, 2.0, "N", "O"), (1, 7, 4, 2, 1.0, "A", None), (None, 8, 5, 1, 3.0, "R", "F"), (2, None, 5, 1, 3.0, None, "O"), (3, 5, 5, 3, 1.0, "R", None)]
 CRAWL = [(1, 1, 5, 1, 1.0, "R", "F"), (2, 1_000_005, 7, 1, 1.0, "R", "F"), (3, 1_000_007, 5, 1, 1.0, "R", "F"), (4, 1_000_007, 5, 2, 1.0, "R", "F"), (5, 9, 7, 1, 1.0, "R", "F")]
 
 
-@pytest.mark.parametrize(("name", "table", "rows", "schema"), [("c12_archive_titles", "pages", PAGES, "page_id long, url string, html string"), ("n1_crawl", "lineitem", CRAWL, LINES)])
+@pytest.mark.parametrize(("name", "table", "rows", "schema"), [("c12_archive_titles", "pages", PAGES, "page_id long, url string, html string"), ("d10_paper_links", "lineitem", LINKS, LINES), ("n1_crawl", "lineitem", CRAWL, LINES)])
 def test_odd_table(spark, tmp_path, name, table, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
     spark.range(1, 3).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
