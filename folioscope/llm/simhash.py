@@ -22,6 +22,11 @@ candidates share one of several random choices of bits (as many as a pair at SIM
 inside such a bucket the same Gray-order index finds the fingerprints within WORD_LINK bits of one 64-bit part, of which
 those within the distance of `loose_distance` over all parts are links. A reached fingerprint is closed, so groups of near copies give one
 edge each. Every edge's texts are then compared exactly; what falls short of SIMILAR is dropped.
+
+Fingerprints lose links now and then, and a candidate that is dropped may have closed a text to others. What they leave is completed
+exactly: with all shingles in one order, the seldom ones first, two texts at SIMILAR share one of the first n - SIMILAR n + 1 of their
+n shingles. Texts of different groups that share one, and whose sizes and places in the order allow it, are compared as well.
+The order comes from a table of counts; it matters for speed alone.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioscope.llm.common import cut, hot_join, id_and_text, kept_on_disk, partitions, scaled, table
+from folioscope.llm.common import cut, hot_join, id_and_text, kept_on_disk, partitions, scaled, slices, table
 
 WORDS = 4
 LINK = 4
@@ -50,6 +55,8 @@ FRONTIER = 1 << 20
 SIMILAR_WORDS, SIMILAR, PARTS, WORD_LINK, CAUGHT = 5, 0.8, 8, 18, 0.99
 #: Standard deviations above the distance expected at SIMILAR within which texts are compared.
 SPREAD = 2.5
+#: Cells of the table that counts shingles (a power of two), pieces that it is summed in, pairs that a search holds at once.
+CELLS, PIECES, PAIRS = 1 << 20, 64, 1 << 21
 #: Edges per file of the checkpoints between rounds, and files at least (where there are as many partitions).
 CUT_ROWS, CUT_PARTS = 250_000, 8
 
@@ -357,6 +364,86 @@ def similar_edges(marks: DataFrame, n: int, similar: float = SIMILAR) -> DataFra
     return rows.repartition(scaled(n * len(choices), TASK_ROWS, partitions(spark)), "bucket").mapInArrow(run, "a long, b long").distinct()
 
 
+def shingle_levels(keyed: DataFrame, words: int) -> np.ndarray:
+    """How frequent the shingles of each cell are, on a logarithmic scale, from the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.uint64)
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingle_hashes(t.as_py(), words) for t in part.column("text")]
+                cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint64)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array([x.tobytes() for x in np.split(cells, PIECES)], pa.binary())], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
+                sums[piece] = np.frombuffer(counts.as_py(), np.uint64) + sums.get(piece, np.uint64(0))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "counts"])
+
+    schema, total = "piece long, counts binary", np.zeros((PIECES, CELLS // PIECES), np.uint64)
+    for piece, counts in keyed.select("text").mapInArrow(count, schema).repartition(partitions(keyed.sparkSession), "piece").mapInArrow(add, schema).collect():
+        total[piece] = np.frombuffer(bytes(counts), np.uint64)
+    return np.minimum(255, 6 * np.log2(1.0 + total.ravel())).astype(np.uint8)
+
+
+def seldom_first(hashes: np.ndarray, levels: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """The shingles of a text of which any other at `similar` has one among its own, seldom ones first."""
+    many = len(hashes) - int(np.ceil(similar * len(hashes) * (1 - 1e-12))) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, levels[(hashes & np.uint64(len(levels) - 1)).astype(np.int64)]))[:many]]
+
+
+def cross_pairs(token: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.ndarray, similar: float = SIMILAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, as their numbers, of one token and different labels whose sizes and places of the token allow `similar`."""
+    order = np.lexsort((label, token))
+    token, label, size, at = token[order], label[order], size[order], at[order]
+    fresh = np.concatenate(([True], token[1:] != token[:-1]))
+    run = fresh | np.concatenate(([True], label[1:] != label[:-1]))
+    starts, runs = np.flatnonzero(fresh), np.flatnonzero(run)
+    end = np.append(starts[1:], len(token))[np.cumsum(fresh) - 1]
+    first = np.append(runs[1:], len(token))[np.cumsum(run) - 1]
+    own = np.flatnonzero(end > first)
+    upto = np.cumsum(end[own] - first[own])
+    while len(own):
+        n = max(1, int(np.searchsorted(upto, PAIRS, side="right")))
+        rows, many = own[:n], end[own[:n]] - first[own[:n]]
+        a = np.repeat(rows, many)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[rows], many)
+        # the token is the first in common if it counts; what lies before it is not shared
+        most = np.minimum(size[a] - at[a], size[b] - at[b])
+        keep = most * (1 + similar) >= similar * (size[a] + size[b]) * (1 - 1e-12)
+        yield order[a[keep]], order[b[keep]]
+        own, upto = own[n:], upto[n:] - upto[n - 1]
+
+
+def missed_edges(placed: DataFrame, tokens: int, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): every pair of nodes (node, label, size, seldom) of different labels that can be at `similar`."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "seldom"):
+                sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column("seldom")]
+                many = np.fromiter(map(len, sets), np.int64, len(sets))
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                columns = [np.repeat(part.column(c).to_numpy(), many) for c in ("node", "label", "size")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *columns, at.astype(np.int32))], names=["token", "node", "label", "size", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "node", "label", "size", "at")
+        parts = [[b.column(c).to_numpy() for c in names] for b in batches]
+        if parts:
+            token, node, label, size, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for a, b in cross_pairs(token, label, size.astype(np.int64), at.astype(np.int64), similar):
+                pairs = np.unique(np.stack((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    rows = placed.select("node", "label", "size", "seldom").mapInArrow(deal, "token long, node long, label long, size int, at int")
+    return rows.repartition(scaled(tokens, TASK_ROWS, partitions(placed.sparkSession)), "token").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(edges: DataFrame, texts: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
     """The edges whose nodes' texts (node, text) are as similar, by their distinct shingles."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -380,6 +467,15 @@ def verified(edges: DataFrame, texts: DataFrame, words: int = SIMILAR_WORDS, sim
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def verified_nodes(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """The edges that hold, from the nodes' first rows (node, one.key) and all texts (key, text)."""
+    edges = cut(edges)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = firsts.join(ends, "node", "left_semi").select("node", F.col("one.key").alias("of"))
+    texts = keyed.join(asked, F.col("key") == F.col("of")).groupBy("node").agg(F.first("text").alias("text"))
+    return verified(edges, texts, words, similar)
+
+
 def near_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they came: of each group of near copies the row with the smallest identifier.
 
@@ -387,22 +483,26 @@ def near_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, similar: f
     """
     mark = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).cast("binary"))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), mark.alias("key"))
+    levels = shingle_levels(keyed, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
             node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node), pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "key", "node", "wide"])
+            wide, size = pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32())
+            seldom = pa.array([seldom_first(x, levels, similar).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node), wide, size, seldom], names=["doc_id", "key", "node", "wide", "size", "seldom"])
 
-    marks = kept_on_disk(keyed.mapInArrow(run, "doc_id long, key string, node long, wide binary"))
+    marks = keyed.mapInArrow(run, "doc_id long, key string, node long, wide binary, size int, seldom binary")
     # structs compare field by field: rows with an identifier first
-    firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"), F.first("wide").alias("wide"))
+    firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.first("seldom").alias("seldom"))
     firsts = kept_on_disk(firsts)
-    edges = cut(similar_edges(firsts.select("node", "wide"), firsts.count(), similar))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = firsts.join(ends, "node", "left_semi").select("node", F.col("one.key").alias("of"))
-    texts = keyed.join(asked, F.col("key") == F.col("of")).groupBy("node").agg(F.first("text").alias("text"))
-    labels = connected(verified(edges, texts, words, similar))
+    n, tokens = firsts.agg(F.count("*"), F.coalesce(F.sum(F.length("seldom")), F.lit(0)) / 8).first()
+    close = cut(verified_nodes(similar_edges(firsts.select("node", "wide"), n, similar), firsts, keyed, words, similar))
+    near = connected(close).withColumnRenamed("node", "linked")
+    grouped = firsts.join(near, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("label", "node").alias("label"), "size", "seldom")
+    rest = verified_nodes(missed_edges(grouped, int(tokens), similar), firsts, keyed, words, similar)
+    labels = connected(close.unionByName(rest))
     placed = firsts.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("one", F.coalesce("label", "node").alias("label"))
     kept = placed.groupBy("label").agg(F.min("one").alias("one")).select("one.key").distinct()
     n = len(docs.columns)

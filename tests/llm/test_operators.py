@@ -653,6 +653,17 @@ def test_near_copies_of_many_kinds(spark):
     assert expected <= kept and len(kept - expected) <= 0.03 * (len(rows) - len(expected)) and links > 40_000
 
 
+def test_no_link_at_the_threshold_is_lost(spark):
+    """Pairs of exactly 0.8, which fingerprints tell apart from others only mostly, with a closing line that all long texts share."""
+    rng, rows = random.Random(8), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for i in range(1500):
+        base = [word() for _ in range(12)] if i % 2 else [word() for _ in range(30)] + "the same closing line of them all".split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([word() for _ in range((len(base) - 4) // 4)] + base))]
+    kept = {r.doc_id for r in simhash.near_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(1500)}
+
+
 def test_hot_join(spark):
     rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(900)] + [(None, 5), (1001, 777_777)], "doc_id long, k long")
     values = rows.where("k <> 777777").groupBy("k").agg(F.min("doc_id").alias("low"), F.count("*").alias("many"))
