@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from folioscope.operators.relational import first_per_key
 #: Least likeness of two titles; of a lookup's candidates, how many and how alike, seeds below which all titles are scored, least points, share of the best, closest ones.
 TITLE_THRESHOLD = 96
 WIDTH, FLOOR, SEEDS, KEEP, SHARE, CLOSEST = 400, 45, 60, 200, 0.4, 8
+#: Width of a band of lengths (logarithm), titles of a block, and rows of a block scored at once.
+BAND, BLOCK, ROWS = 0.08, 4000, 500
 #: Near misses of a search without hits.
 NEAR, NEAR_MOST = 76, 40
 
@@ -77,11 +80,68 @@ def similar_titles(asked: DataFrame, known: DataFrame, title: str, threshold: fl
     return pairs.withColumn("score", Z.ratio("asked_text", "known_text")).where(F.col("score") >= threshold).select("asked", "known", "score")
 
 
+def letters(texts: list[str]) -> np.ndarray:
+    """How often each text has each letter; rare letters share their columns, which only raises what texts seem to share."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    column = np.where(codes < 128, codes, 128 + codes % 32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    return np.bincount(row * 160 + column, minlength=160 * len(texts)).reshape(-1, 160)
+
+
+def closest(asked: list[str], known: list[str], places: list, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(asked, known, score) of each asked text's best known one at the threshold, by number; the smallest place on ties."""
+    a, k = letters(asked), letters(known)
+    # as many columns of a letter as the known ones have it at most; a product counts what two texts share, which no common subsequence exceeds
+    most = k.max(axis=0)
+    units = lambda x: np.concatenate([x[:, c, None] > np.arange(most[c]) for c in np.flatnonzero(most)], axis=1).astype(np.float32)
+    shared, sizes, total = units(k).T, k.sum(axis=1), a.sum(axis=1)
+    for start in range(0, len(asked), ROWS):
+        bound = 200 * (units(a[start : start + ROWS]) @ shared).astype(np.float64) / (total[start : start + ROWS, None] + sizes)
+        for i, row in enumerate(bound, start):
+            likely = np.flatnonzero(row >= threshold - 1e-9)
+            found, least = None, threshold
+            for j in likely[np.argsort(-row[likely], kind="stable")].tolist():
+                if row[j] < least - 1e-9:
+                    break
+                score = Z.score(asked[i], known[j])
+                if score >= least and (found is None or score > least or places[j] < places[found]):
+                    found, least = j, score
+            if found is not None:
+                yield i, found, least
+
+
 def fuzzy_pairs(asked: DataFrame, known: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
-    """term -> the most similar known title (the smallest place on ties) from (term) and (title, place)."""
-    found = similar_titles(asked.withColumnRenamed("term", "title"), known, "title", threshold)
-    placed = found.join(known.groupBy(F.col("title").alias("known")).agg(F.min("place").alias("place")), "known")
-    return first_per_key(placed, ["asked"], [F.desc("score"), F.asc("place")]).select(F.col("asked").alias("term"), F.col("known").alias("found"), "place")
+    """term -> the most similar known title (the smallest place on ties) from (term) and (title, place).
+
+    Titles of the same words in order are 100 and settled by a join. The others are dealt in blocks of nearly equal lengths; in a pair of
+    blocks the letters that two titles share bound their score, and those that could be the best are scored.
+    """
+    ordered = lambda c: F.array_join(F.array_sort(F.split(F.trim(c), r"\s+")), " ")
+    kind = dict(known.dtypes)["place"]
+    a = asked.where(F.trim(F.coalesce("term", F.lit(""))) != "").select("term", ordered("term").alias("text")).distinct()
+    k = known.where(F.trim(F.coalesce("title", F.lit(""))) != "").groupBy(ordered("title").alias("text")).agg(F.min_by("title", "place").alias("found"), F.min("place").alias("place"))
+    a = a.join(k, "text", "left")
+    same = a.where("found is not null").select("term", "found", "place")
+    a = a.where("found is null").select("term", "text")
+    k = k.withColumn("band", F.floor(F.log(F.length("text").cast("double")) / BAND))
+    blocks = {r.band: -(-r.n // BLOCK) for r in k.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    most = max(1, -(-a.count() // BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    many = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair)), F.col("band")), F.lit(0)) if blocks else F.lit(0)
+    known_blocks = k.select("*", part("text", many).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("a"))
+    widest = (200 - threshold) / threshold
+    size = F.length("text").cast("double")
+    bands = F.sequence(F.floor(F.log(size / widest) / BAND - 1e-9), F.floor(F.log(size * widest) / BAND + 1e-9))
+    asked_blocks = a.select("*", part("text", F.lit(most)).alias("a"), F.explode(bands).alias("band")).select("*", F.explode(F.when(many > 0, F.sequence(F.lit(0), many.cast("int") - 1))).alias("k"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = closest(left["text"].tolist(), right["text"].tolist(), right["place"].tolist(), threshold) if len(left) and len(right) else []
+        rows = [(left["term"].iloc[i], right["found"].iloc[j], right["place"].iloc[j], score) for i, j, score in out]
+        return pd.DataFrame(rows, columns=["term", "found", "place", "score"])
+
+    keys = ["band", "a", "k"]
+    near = asked_blocks.groupBy(*keys).cogroup(known_blocks.groupBy(*keys)).applyInPandas(best, f"term string, found string, place {kind}, score double")
+    return first_per_key(near, ["term"], [F.desc("score"), F.asc("place")]).select("term", "found", "place").unionByName(same)
 
 
 def pool_match(asked: DataFrame, pool: DataFrame, key: str, threshold: float = TITLE_THRESHOLD) -> DataFrame:

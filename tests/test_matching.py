@@ -70,6 +70,38 @@ def test_no_candidate_is_lost(spark):
         assert got == expected and len(expected) > 60
 
 
+def many_titles(n, seed):
+    """Titles that share most of their words, as the parts' do; some long, some with letters of other scripts."""
+    rng = random.Random(seed)
+    pick = lambda values: rng.choice(values)
+    return [f"a study of the {pick(['small', 'large', 'red'])} {pick(['ring', 'widget', 'gear'])} brand {rng.randrange(25)} {pick(['tin', 'steel'])} in human listeners {rng.randrange(50)}" + pick(["", "", " βήτα", " ж", " 漢字", " and more" * rng.randrange(4)]) for _ in range(n)]
+
+
+def test_best_of_many_blocks(spark, monkeypatch):
+    """The best known title of each asked one by brute force, ties and blocks included."""
+    monkeypatch.setattr(Q, "BLOCK", 40)
+    known = [(t, i) for i, t in enumerate(many_titles(150, 1))]
+    asked = [t.replace("human", "humman") if i % 2 else t for i, t in enumerate(many_titles(150, 2))] + [" ".join(reversed(known[7][0].split())), "", " ", None, "x"]
+    got = {r.term: (r.found, r.place) for r in Q.fuzzy_pairs(spark.createDataFrame([(t,) for t in asked], "term string"), spark.createDataFrame(known, "title string, place long")).collect()}
+    expected = {}
+    for term in filter(None, map(lambda t: (t or "").strip() and t, asked)):
+        best = min((-ratio(words(term), words(t)), p, t) for t, p in known)
+        if -best[0] >= 96:
+            expected[term] = (best[2], best[1])
+    assert got == expected and len(expected) > 60
+
+
+def test_few_are_scored(monkeypatch):
+    """Titles that share most of their words don't have all their pairs scored."""
+    calls = []
+    scored = Z.score
+    monkeypatch.setattr(Z, "score", lambda a, b: calls.append(1) or scored(a, b))
+    known = sorted({words(t) for t in many_titles(600, 3)})
+    asked = [t.replace("human", "humman") for t in known]
+    assert [known[j] for _, j, _ in Q.closest(asked, known, list(range(len(known))), 96)] == known
+    assert len(calls) < 4 * len(asked)
+
+
 def test_lookups(spark, small):
     asked, pool = (df.collect() for df in lookups.asked_and_pool(spark, small))
     by_doi, by_title = {}, {}
