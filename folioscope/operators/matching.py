@@ -168,11 +168,13 @@ def exists(asked: DataFrame, pool: DataFrame, key: str, threshold: float = TITLE
 
 def retry_ladder(asked: DataFrame, pool: DataFrame, key: str, threshold: float = TITLE_THRESHOLD) -> DataFrame:
     """key, exists, doi_miss: rows whose DOI the pool lacks are asked again by their title alone."""
-    first = exists(asked, pool, key, threshold)
-    missed = asked.join(first.where("not exists"), key, "left_semi").where(F.coalesce("doi", F.lit("")) != "")
-    again = exists(missed.withColumn("doi", F.lit(None).cast("string")), pool, key, threshold).select(F.col(key).alias("_k"), F.col("exists").alias("_again"))
-    rows = first.join(again, F.col(key) == F.col("_k"), "left")
-    return rows.select(key, (F.col("exists") | F.coalesce("_again", F.lit(False))).alias("exists"), F.coalesce("_again", F.lit(False)).alias("doi_miss"))
+    dois = pool.where(F.coalesce("doi", F.lit("")) != "").select(F.col("doi").alias("_d")).distinct()
+    rows = asked.join(dois, F.col("doi") == F.col("_d"), "left")
+    has_doi = F.coalesce("doi", F.lit("")) != ""
+    settled = rows.where("_d is not null").select(key, F.lit(True).alias("exists"), F.lit(False).alias("doi_miss"))
+    open_ = rows.where("_d is null").select(F.struct(F.col(key).alias("k"), has_doi.alias("missed")).alias("_key"), F.lit(None).cast("string").alias("doi"), "title")
+    again = exists(open_, pool, "_key", threshold).select(F.col("_key.k").alias(key), "exists", (F.col("exists") & F.col("_key.missed")).alias("doi_miss"))
+    return settled.unionByName(again)
 
 
 def repair_names(bad: DataFrame, real: DataFrame, owner: str, name: str) -> DataFrame:

@@ -126,6 +126,17 @@ def test_lookups(spark, small):
     assert {r.p_partkey: (r.exists, r.doi_miss) for r in ROWS_ONLY["c6_retry_ladder"](spark, small).collect()} == {k: (bool(expected[k][1]) or again[k], again[k]) for k in expected}
 
 
+def test_one_search_for_all(spark):
+    """A missed DOI's title is searched together with the others', and rows without a key are asked again too."""
+    asked = spark.createDataFrame([(1, "10.1/a", "x"), (2, "10.1/z", "the long title of a paper"), (None, "10.1/y", "the long titlle of a paper"), (4, None, "nothing like it")], "k long, doi string, title string")
+    pool = spark.createDataFrame([("10.1/a", "the long title of a paper", 1)], "doi string, title string, place long")
+    got = Q.retry_ladder(asked, pool, "k")
+    assert {(r.k, r.exists, r.doi_miss) for r in got.collect()} == {(1, True, False), (2, True, True), (None, True, True), (4, False, False)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroups") == 1
+    assert {(r.k, r.exists) for r in Q.exists(asked, pool, "k").collect()} == {(1, True), (2, False), (None, False), (4, False)}
+
+
 def test_repaired_names(spark):
     real = spark.createDataFrame([("o", n) for n in ("braindecode", "braindecode.github.io", "a-simple-to-start", "speech-tools", None, "")], "owner string, name string")
     bad = spark.createDataFrame([("o", n) for n in ("ASIMPLE-TOSTART", "brainde", "speech-t", "speech-toolz", "zzzzzz", "ab")] + [("p", "speech-tools")], "owner string, name string")
