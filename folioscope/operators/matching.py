@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,6 +27,8 @@ TITLE_THRESHOLD = 96
 WIDTH, FLOOR, SEEDS, KEEP, SHARE, CLOSEST = 400, 45, 60, 200, 0.4, 8
 #: Width of a band of lengths (logarithm), titles of a block, and rows of a block scored at once.
 BAND, BLOCK, ROWS = 0.08, 4000, 500
+#: Fixed value: least likeness of a misread name.
+LIKE = 90
 #: Near misses of a search without hits.
 NEAR, NEAR_MOST = 76, 40
 
@@ -110,6 +113,46 @@ def closest(asked: list[str], known: list[str], places: list, threshold: float)
                 yield i, found, least
 
 
+def much_alike(asked: list[str], known: list[str], least: float) -> Iterator[tuple[int, str, float]]:
+    """(asked, by number, best known text, its weighted score) from `least`, 90 or more, on; the smaller text on ties.
+
+    Only pairs that can score as much are scored: one is part of the other, they share a word, or their letters, in order or each word once, are as alike.
+    """
+    once = lambda t: " ".join(sorted(set(t.split())))
+    spaced = any(len(t.split()) != 1 or t != t.strip() for t in (*asked, *known))
+    forms = [(asked, known, least)]
+    if spaced:  # else the words' scores are the texts'
+        forms += [([f(t) for t in asked], [f(t) for t in known], least / 0.95) for f in (Z.in_order, once)]
+    sides = []
+    for x, y, bar in forms:
+        a, k = letters(x), letters(y)
+        most = k.max(axis=0)
+        columns = np.flatnonzero(most)
+        units = lambda v, most=most, columns=columns: np.concatenate([np.zeros((len(v), 1), np.float32), *((v[:, c, None] > np.arange(most[c])).astype(np.float32) for c in columns)], axis=1)
+        sides.append((a, units, units(k).T, k.sum(axis=1), bar))
+    words: dict[str, list[int]] = {}
+    for j, t in enumerate(known):
+        for w in set(t.split()):
+            words.setdefault(w, []).append(j)
+    lengths = np.fromiter(map(len, known), np.int64, len(known))
+    for start in range(0, len(asked), ROWS):
+        likely = None
+        for a, units, shared, sizes, bar in sides:
+            part = a[start : start + ROWS]
+            total = part.sum(axis=1)[:, None] + sizes
+            near = 200 * (units(part) @ shared) >= (bar - 1e-3) * total
+            likely = near if likely is None else likely | near
+        for i, row in enumerate(likely, start):
+            text = asked[i]
+            close = set(np.flatnonzero(row).tolist()).union(*(words.get(w, ()) for w in set(text.split())))
+            # one as part of the other, from half as long again on
+            apart = np.flatnonzero(np.maximum(lengths, len(text)) >= 1.5 * np.minimum(lengths, len(text))).tolist()
+            close.update(j for j in apart if text in known[j] or known[j] in text)
+            best = min(((-Z.weighted(text, known[j]), known[j]) for j in close), default=(0.0, ""))
+            if -best[0] >= least:
+                yield i, best[1], -best[0]
+
+
 def fuzzy_pairs(asked: DataFrame, known: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
     """term -> the most similar known title (the smallest place on ties) from (term) and (title, place).
 
@@ -134,13 +177,13 @@ def fuzzy_pairs(asked: DataFrame, known: DataFrame, threshold: float = TITLE_THR
     bands = F.sequence(F.floor(F.log(size / widest) / BAND - 1e-9), F.floor(F.log(size * widest) / BAND + 1e-9))
     asked_blocks = a.select("*", part("text", F.lit(most)).alias("a"), F.explode(bands).alias("band")).select("*", F.explode(F.when(many > 0, F.sequence(F.lit(0), many.cast("int") - 1))).alias("k"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = closest(left["text"].tolist(), right["text"].tolist(), right["place"].tolist(), threshold) if len(left) and len(right) else []
-        rows = [(left["term"].iloc[i], right["found"].iloc[j], right["place"].iloc[j], score) for i, j, score in out]
-        return pd.DataFrame(rows, columns=["term", "found", "place", "score"])
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = list(closest(left["text"].to_pylist(), right["text"].to_pylist(), right["place"].to_pylist(), threshold)) if len(left) and len(right) else []
+        i, j = (pa.array([r[n] for r in out], pa.int64()) for n in (0, 1))
+        return pa.table({"term": left["term"].take(i), "found": right["found"].take(j), "place": right["place"].take(j), "score": pa.array([r[2] for r in out], pa.float64())})
 
     keys = ["band", "a", "k"]
-    near = asked_blocks.groupBy(*keys).cogroup(known_blocks.groupBy(*keys)).applyInPandas(best, f"term string, found string, place {kind}, score double")
+    near = asked_blocks.groupBy(*keys).cogroup(known_blocks.groupBy(*keys)).applyInArrow(best, f"term string, found string, place {kind}, score double")
     return first_per_key(near, ["term"], [F.desc("score"), F.asc("place")]).select("term", "found", "place").unionByName(same)
 
 
@@ -184,16 +227,33 @@ def repair_names(bad: DataFrame, real: DataFrame, owner: str, name: str) -> Data
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     a = bad.select(owner, F.col(name).alias("bad"), plain(F.col(name)).alias("_b")).distinct()
-    b = real.where(F.coalesce(name, F.lit("")) != "").select(owner, F.col(name).alias("real"), plain(F.col(name)).alias("_r")).distinct()
-    pairs = a.where(F.length("_b") >= 3).join(b, owner).withColumn("like", Z.weighted_ratio("bad", "real"))
-    starts = (F.length("_b") >= 5) & F.startswith("_r", "_b")
-    pairs = pairs.withColumn("_starts", F.sum(starts.cast("int")).over(W.partitionBy(owner, "bad")))
-    tier = F.when(F.col("_r") == F.col("_b"), 0).when(starts, 1).when(F.col("like") >= 90, 2)
-    points = F.when(F.col("_tier") == 0, 100.0).when(F.col("_tier") == 1, F.when(F.col("_starts") == 1, 97.0).otherwise(92.0)).otherwise(F.col("like"))
-    length = F.when(F.col("_tier") == 1, F.length("_r")).otherwise(0)
-    best = first_per_key(pairs.withColumn("_tier", tier).where("_tier is not null"), [owner, "bad"], [F.asc("_tier"), length.asc(), F.desc("like"), F.asc("real")])
-    found = best.select(owner, "bad", "real", points.alias("points"), F.element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("fuzzy")), F.col("_tier") + 1).alias("how"))
-    return a.select(owner, "bad").join(found, [owner, "bad"], "left")
+    b = real.where(F.coalesce(name, F.lit("")) != "").select(F.col(owner).alias(owner), F.col(name).alias("real"), plain(F.col(name)).alias("_r")).distinct()
+    asked, every = a.where(F.length("_b") >= 3), [owner, "bad"]
+    first = lambda pairs: first_per_key(pairs.withColumn("like", Z.weighted_ratio("bad", "real")), every, [F.desc("like"), F.asc("real")])
+    exact = first(asked.join(b.withColumnRenamed("_r", "_b"), [owner, "_b"])).select(*every, "real", F.lit(100.0).alias("points"), F.lit("exact").alias("how"))
+    # beginnings: each real name goes to all its own from five letters on, so that only pairs that begin so meet
+    begins = b.where(F.length("_r") >= 5).select(owner, "real", F.length("_r").alias("_n"), F.explode(F.transform(F.sequence(F.lit(5), F.length("_r")), lambda n: F.substring("_r", F.lit(1), n))).alias("_b"))
+    shortest = begins.groupBy(owner, "_b").agg(F.count("*").alias("_starts"), F.min("_n").alias("_n"))
+    starts = asked.join(exact.select(*every), every, "left_anti").join(begins.join(shortest, [owner, "_b", "_n"]), [owner, "_b"])
+    prefix = first(starts).select(*every, "real", F.when(F.col("_starts") == 1, 97.0).otherwise(92.0).alias("points"), F.lit("prefix").alias("how"))
+    # the rest against all names of the owner, in blocks
+    settled = exact.unionByName(prefix)
+    rest = asked.join(settled.select(*every), every, "left_anti").select(*every)
+    blocks = lambda rows, n: rows.groupBy(owner).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    sizes = blocks(rest, "_na").join(blocks(b, "_nr"), owner)
+    left = rest.join(sizes, owner).select(*every, part("bad", "_na").alias("_pa"), F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)).alias("_pr"))
+    right = b.join(sizes, owner).select(owner, "real", part("real", "_nr").alias("_pr"), F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("_pa"))
+
+    def alike(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = list(much_alike(x["bad"].to_pylist(), y["real"].to_pylist(), LIKE)) if len(x) and len(y) else []
+        i = pa.array([r[0] for r in out], pa.int64())
+        return pa.table({owner: x[owner].take(i), "bad": x["bad"].take(i), "real": pa.array([r[1] for r in out], pa.string()), "points": pa.array([r[2] for r in out], pa.float64())})
+
+    keys = [owner, "_pa", "_pr"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(alike, f"`{owner}` {dict(a.dtypes)[owner]}, bad string, real string, points double")
+    fuzzy = first_per_key(found, every, [F.desc("points"), F.asc("real")]).select(*every, "real", "points", F.lit("fuzzy").alias("how"))
+    return a.select(*every).join(settled.unionByName(fuzzy), every, "left")
 
 
 def near_titles(rows: DataFrame, query: str, title: str = "hay_t") -> DataFrame:

@@ -146,6 +146,17 @@ def test_repaired_names(spark):
     assert all(got[k] == (None, None, None) for k in (("o", "zzzzzz"), ("o", "ab"), ("p", "speech-tools")))
 
 
+def test_names_much_alike():
+    """The best real name by brute force, with words, parts and repeated words; few pairs of single words are scored."""
+    rng = random.Random(4)
+    name = lambda sep: sep.join(rng.choices(["speech", "brain", "decode", "tool", "net", "12", "7", "of"], k=rng.randint(1, 5)))
+    for sep in ("-", " ", "  "):
+        known = sorted({name(sep) for _ in range(120)})
+        asked = [name(sep).replace("o", "0") if i % 2 else name(sep)[: rng.randint(3, 30)] for i in range(120)] + ["speech brain", " ", "brain-decode x"]
+        best = [min((-Z.weighted(a, k), k) for k in known) for a in asked]
+        assert list(Q.much_alike(asked, known, 90)) == [(i, k, -s) for i, (s, k) in enumerate(best) if -s >= 90]
+
+
 def test_title_search(spark, small):
     pool = lookups.pool(spark, small).collect()
     query = "small widgett brand 7"
