@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import id_and_text, slices, table, tokenizer_path
+from folioscope.llm.common import id_and_text, slices, small_batches, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of a piece from which on a round contracts all occurrences of the minimum rank.
@@ -278,6 +278,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
 
         pattern = public_tokenizers.PATTERN
     path = vocabulary or tokenizer_path(VOCABULARY)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path, pattern)

@@ -83,6 +83,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have texts go to the Python workers in batches of SLICE_BYTES at most, from now on in this session: a batch is held by the executor and by its worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= SLICE_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into consecutive slices of about `limit` text bytes, one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()

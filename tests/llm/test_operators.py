@@ -653,6 +653,22 @@ def test_near_copies_of_many_kinds(spark):
     assert expected <= kept and len(kept - expected) <= 0.03 * (len(rows) - len(expected)) and links > 40_000
 
 
+def test_texts_go_out_in_small_batches(spark):
+    """Before it encodes, the session's batches are bounded by bytes, not by 10,000 rows alone; a smaller bound stays."""
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set(name, "64m")
+        rows = spark.createDataFrame([(i, "a b " * 5000) for i in range(600)], "doc_id long, text string").coalesce(1)
+        assert byte_bpe.encode_documents(rows).count() == 600
+        sizes = rows.mapInArrow(lambda batches: (type(b).from_arrays([b.column(0).slice(0, 1)], names=["doc_id"]) for b in batches), "doc_id long")
+        assert sizes.count() >= 2 and spark.conf.get(name) == str(common.SLICE_BYTES)
+        spark.conf.set(name, "1m")
+        byte_bpe.encode_documents(rows)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_link_at_the_threshold_is_lost(spark):
     """Pairs of exactly 0.8, which fingerprints tell apart from others only mostly, with a closing line that all long texts share."""
     rng, rows = random.Random(8), []
