@@ -7,9 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -17,6 +18,8 @@ from pyspark.storagelevel import StorageLevel
 HOT = 1 / 2000
 #: Texts are handed to the Python workers' inner loops in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
+#: A table of marks has so many bits at most, as powers of two, and is put together from pieces of so many.
+MARK_BITS, PIECE_BITS = 26, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +94,58 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(SLICE_BYTES))
 
 
+class Marks:
+    """Places of 64-bit hashes in a table of bounded size: whatever was marked is found, others now and then as well."""
+
+    def __init__(self, count: int) -> None:
+        self.bits = int(np.clip(int(16 * max(1, count)).bit_length(), PIECE_BITS, MARK_BITS))
+        self.table = np.zeros((1 << (self.bits - PIECE_BITS), (1 << PIECE_BITS) // 8), np.uint8)
+
+    def gather(self, pieces: DataFrame) -> Marks:
+        """From rows (piece int, bits binary), one for each piece at most."""
+        for piece, bits in pieces.collect():
+            self.table[piece] = np.frombuffer(bytes(bits), np.uint8)
+        return self
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.table.ravel()[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+    def of(self, column: Column) -> Column:
+        """Whether a column of hashes (long, never null) is marked."""
+
+        @F.arrow_udf("boolean")
+        def found(hashes: pa.Array) -> pa.Array:
+            return pa.array(self.has(hashes.to_numpy(zero_copy_only=False)))
+
+        return found(column)
+
+
+def marked_keys(keys: DataFrame, key: str) -> Marks:
+    """The marks of the XXH64 of a column's values; `keys` is computed twice."""
+    marks = Marks(keys.count())
+    place = F.shiftrightunsigned(F.xxhash64(key), 64 - marks.bits)
+    rows = keys.select(F.shiftright(place, PIECE_BITS).cast("int").alias("piece"), place.bitwiseAND(F.lit((1 << PIECE_BITS) - 1)).cast("int").alias("place"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            piece, place = (batch.column(c).to_numpy() for c in ("piece", "place"))
+            for k in np.unique(piece).tolist():
+                pieces.setdefault(k, np.zeros(1 << PIECE_BITS, bool))[place[piece == k]] = True
+        if pieces:
+            packed = [np.packbits(x, bitorder="little").tobytes() for x in pieces.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array(packed, pa.binary())], names=["piece", "bits"])
+
+    return marks.gather(rows.repartition(partitions(keys.sparkSession), "piece").mapInArrow(pack, "piece int, bits binary"))
+
+
+def binary_column(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A binary column of values of these lengths in bytes, one behind the other in `data`."""
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into consecutive slices of about `limit` text bytes, one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()

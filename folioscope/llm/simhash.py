@@ -20,13 +20,17 @@ all null has a null component_id; an empty table gives an empty result. Texts ar
 SIMILAR or more. 64 bits can't tell that: such texts differ in about ten of them. Its fingerprints have PARTS x 64 bits, one majority for each;
 candidates share one of several random choices of bits (as many as a pair at SIMILAR needs to share one with probability CAUGHT), and
 inside such a bucket the same Gray-order index finds the fingerprints within WORD_LINK bits of one 64-bit part, of which
-those within the distance of `loose_distance` over all parts are links. A reached fingerprint is closed, so groups of near copies give one
-edge each. Every edge's texts are then compared exactly; what falls short of SIMILAR is dropped.
+those within the distance of `loose_distance` over SENT parts are links. A reached fingerprint is closed, so groups of near copies give one
+edge each. Every edge's texts are then compared exactly; what falls short of SIMILAR is dropped. Before, parities of the shingles by
+cell, which can't differ in more cells than the texts have shingles apart, drop what can't be at SIMILAR.
 
 Fingerprints lose links now and then, and a candidate that is dropped may have closed a text to others. What they leave is completed
 exactly: with all shingles in one order, the seldom ones first, two texts at SIMILAR share one of the first n - SIMILAR n + 1 of their
 n shingles. Texts of different groups that share one, and whose sizes and places in the order allow it, are compared as well.
-The order comes from a table of counts; it matters for speed alone.
+The order comes from a table of counts; it matters for speed alone. Most of these shingles occur in one text: 32 bits of each
+are dealt out to find those that come twice, and only what may be one of them (a table of `Marks`) is dealt out with its text's size and group.
+
+Texts are not dealt out but where they are needed: those of edges, as sets of hashes, and the rows that are dropped or repeat, found by `Marks` too.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioscope.llm.common import cut, hot_join, id_and_text, kept_on_disk, partitions, scaled, slices, table
+from folioscope.llm.common import PIECE_BITS, Marks, binary_column, cut, hot_join, id_and_text, kept_on_disk, marked_keys, partitions, scaled, slices, small_batches, table
 
 WORDS = 4
 LINK = 4
@@ -53,6 +57,8 @@ TASK_ROWS = 400_000
 FRONTIER = 1 << 20
 #: Near copies: words of a shingle, least similarity, 64-bit parts of a fingerprint, differences of one part that the index looks for, share of pairs at the least similarity that some bucket holds.
 SIMILAR_WORDS, SIMILAR, PARTS, WORD_LINK, CAUGHT = 5, 0.8, 8, 18, 0.99
+#: Parts of a fingerprint that go to each of its buckets, and cells of a text's parities at most.
+SENT, PARITIES = 4, 1 << 14
 #: Standard deviations above the distance expected at SIMILAR within which texts are compared.
 SPREAD = 2.5
 #: Cells of the table that counts shingles (a power of two), pieces that it is summed in, pairs that a search holds at once.
@@ -335,7 +341,7 @@ def bit_choices(n: int, similar: float = SIMILAR, parts: int = PARTS) -> np.ndar
 
 def similar_edges(marks: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
     """(a, b): candidates among distinct nodes with their wide fingerprints (node, wide)."""
-    choices, most, spark = bit_choices(n, similar), loose_distance(similar), marks.sparkSession
+    choices, most, spark = bit_choices(n, similar), loose_distance(similar, SENT), marks.sparkSession
     powers = np.int64(1) << np.arange(choices.shape[1], dtype=np.int64)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,24 +349,23 @@ def similar_edges(marks: DataFrame, n: int, similar: float = SIMILAR) -> DataFra
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(wide, axis=1, bitorder="little").astype(np.int64)
+                bits, whole = np.unpackbits(wide, axis=1, bitorder="little").astype(np.int64), wide.view("<u8")
                 for k, places in enumerate(choices):
-                    # a choice's keys are apart from the others' by their high bits
+                    # a choice's keys are apart from the others' by their high bits; the parts that it gets change with it
                     bucket = (bits[:, places] @ powers) + (np.int64(k) << np.int64(32))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column("node"), part.column("wide")], names=["bucket", "node", "wide"])
+                    sent = binary_column(np.full(len(whole), 8 * SENT), whole[:, (k + np.arange(SENT)) % PARTS])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column("node"), sent], names=["bucket", "node", "sent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("bucket").to_numpy(), b.column("node").to_numpy(), b"".join(b.column("wide").to_pylist())) for b in batches]
+        parts = [(b.column("bucket").to_numpy(), b.column("node").to_numpy(), b"".join(b.column("sent").to_pylist())) for b in batches]
         if parts:
             bucket, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            whole = np.frombuffer(b"".join(p[2] for p in parts), "<u8").reshape(len(node), PARTS)
-            # the part that the index looks at changes with the choice
-            value = whole[np.arange(len(node)), (bucket >> 32) % PARTS]
-            a, b = bucket_edges(bucket, value, WORD_LINK, whole, most)
+            whole = np.frombuffer(b"".join(p[2] for p in parts), "<u8").reshape(len(node), SENT)
+            a, b = bucket_edges(bucket, whole[:, 0].copy(), WORD_LINK, whole, most)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    rows = marks.mapInArrow(keys, "bucket long, node long, wide binary")
+    rows = marks.mapInArrow(keys, "bucket long, node long, sent binary")
     return rows.repartition(scaled(n * len(choices), TASK_ROWS, partitions(spark)), "bucket").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -374,13 +379,14 @@ def shingle_levels(keyed: DataFrame, words: int) -> np.ndarray:
                 sets = [shingle_hashes(t.as_py(), words) for t in part.column("text")]
                 cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint64)
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array([x.tobytes() for x in np.split(cells, PIECES)], pa.binary())], names=["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(cells, PIECES)], pa.binary())], names=["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
-                sums[piece] = np.frombuffer(counts.as_py(), np.uint64) + sums.get(piece, np.uint64(0))
+                one = pa.decompress(counts.as_py(), 8 * CELLS // PIECES, "zstd", asbytes=True)
+                sums[piece] = np.frombuffer(one, np.uint64) + sums.get(piece, np.uint64(0))
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "counts"])
 
@@ -396,6 +402,54 @@ def seldom_first(hashes: np.ndarray, levels: np.ndarray, similar: float = SIMILA
     return hashes[np.lexsort((hashes, levels[(hashes & np.uint64(len(levels) - 1)).astype(np.int64)]))[:many]]
 
 
+def repeated_tokens(marks: DataFrame, tokens: int) -> Marks:
+    """The shingles among the seldom ones of all texts that two of them have."""
+    found = Marks(tokens // 16)
+    high = found.bits - PIECE_BITS
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "seldom"):
+                x = np.sort(np.frombuffer(b"".join(part.column("seldom").to_pylist()), np.uint64))
+                cuts = np.searchsorted(x >> np.uint64(64 - high), np.arange(1 << high, dtype=np.uint64)) if high else np.zeros(1, np.int64)
+                many = np.diff(np.append(cuts, len(x)))
+                some = np.flatnonzero(many)
+                low = (x >> np.uint64(32 - high)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), binary_column(4 * many[some], low)], names=["piece", "low"])
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for piece, low in zip(batch.column("piece").to_pylist(), batch.column("low"), strict=True):
+                pieces.setdefault(piece, []).append(np.frombuffer(low.as_py(), np.uint32))
+        for piece, parts in pieces.items():
+            low, bits = np.sort(np.concatenate(parts)), np.zeros(1 << PIECE_BITS, bool)
+            bits[low[1:][low[1:] == low[:-1]] >> np.uint32(32 - PIECE_BITS)] = True
+            if bits.any():
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
+
+    rows = marks.select("seldom").mapInArrow(deal, "piece int, low binary")
+    return found.gather(rows.repartition(scaled(tokens, TASK_ROWS, partitions(marks.sparkSession)), "piece").mapInArrow(twice, "piece int, bits binary"))
+
+
+def shared_tokens(marks: DataFrame, repeated: Marks) -> DataFrame:
+    """(node, size, seldom, at): of the seldom shingles those that may be in two texts, with their places in the order; a row for each node that has any."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "seldom"):
+                many = pa.compute.binary_length(part.column("seldom")).to_numpy() // 8
+                x = np.frombuffer(b"".join(part.column("seldom").to_pylist()), np.uint64)
+                at, keep = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many), repeated.has(x)
+                left = np.bincount(np.repeat(np.arange(len(many)), many)[keep], minlength=len(many))
+                some = np.flatnonzero(left)
+                node, size = (part.column(c).take(pa.array(some)) for c in ("node", "size"))
+                yield pa.RecordBatch.from_arrays([node, size, binary_column(8 * left[some], x[keep]), binary_column(4 * left[some], at[keep].astype(np.int32))], names=["node", "size", "seldom", "at"])
+
+    rows = marks.select("node", "size", "seldom").mapInArrow(pick, "node long, size int, seldom binary, at binary")
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "seldom", "at")))
+
+
 def cross_pairs(token: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.ndarray, similar: float = SIMILAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows, as their numbers, of one token and different labels whose sizes and places of the token allow `similar`."""
     order = np.lexsort((label, token))
@@ -420,16 +474,16 @@ def cross_pairs(token: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.n
 
 
 def missed_edges(placed: DataFrame, tokens: int, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): every pair of nodes (node, label, size, seldom) of different labels that can be at `similar`."""
+    """(a, b): every pair of nodes (node, label, size, seldom, at) of different labels that can be at `similar`."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "seldom"):
                 sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column("seldom")]
                 many = np.fromiter(map(len, sets), np.int64, len(sets))
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at = np.frombuffer(b"".join(part.column("at").to_pylist()), np.int32)
                 columns = [np.repeat(part.column(c).to_numpy(), many) for c in ("node", "label", "size")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *columns, at.astype(np.int32))], names=["token", "node", "label", "size", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *columns, at)], names=["token", "node", "label", "size", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("token", "node", "label", "size", "at")
@@ -440,20 +494,45 @@ def missed_edges(placed: DataFrame, tokens: int, similar: float = SIMILAR) -> Da
                 pairs = np.unique(np.stack((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]))), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    rows = placed.select("node", "label", "size", "seldom").mapInArrow(deal, "token long, node long, label long, size int, at int")
+    rows = placed.select("node", "label", "size", "seldom", "at").mapInArrow(deal, "token long, node long, label long, size int, at int")
     return rows.repartition(scaled(tokens, TASK_ROWS, partitions(placed.sparkSession)), "token").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(edges: DataFrame, texts: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """The edges whose nodes' texts (node, text) are as similar, by their distinct shingles."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def parities(hashes: np.ndarray) -> bytes:
+    """For each cell, a bit: whether the number of hashes in it is odd. About a cell for each hash."""
+    cells = min(PARITIES, max(64, 1 << max(0, len(hashes) - 1).bit_length()))
+    return np.packbits(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Sets of hashes with these parities differ in as many hashes at least."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
+def verified(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """The edges whose nodes' texts are as similar, by their distinct shingles, from the nodes (node, one.key, size, odd) and all texts (key, text)."""
+    ends = firsts.select("node", "one.key", "size", "odd")
+    pairs = edges.join(ends.toDF("a", "key_a", "size_a", "odd_a"), "a").join(ends.toDF("b", "key_b", "size_b", "odd_b"), "b")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            odd = zip(batch.column("odd_a"), batch.column("odd_b"), strict=True)
+            apart = np.fromiter((least_apart(x.as_py(), y.as_py()) for x, y in odd), np.int64, batch.num_rows)
+            keep = apart * (1 + similar) <= total * (1 - similar) * (1 + 1e-9)
+            yield batch.filter(pa.array(keep)).select(["a", "b", "key_a", "key_b"])
+
+    pairs = cut(pairs.select("a", "b", "key_a", "key_b", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(possible, "a long, b long, key_a string, key_b string"))
+    asked = marked_keys(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct(), "key")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], names=["key", "set"])
 
-    sets = texts.join(nodes, "node", "left_semi").mapInArrow(hashes, "node long, set binary")
-    pairs = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    # rows that repeat identifier and text have one set
+    sets = keyed.where(asked.of(F.xxhash64("key"))).select("key", "text").mapInArrow(hashes, "key string, set binary").groupBy("key").agg(F.first("set").alias("set"))
+    pairs = pairs.join(sets.toDF("key_a", "x"), "key_a").join(sets.toDF("key_b", "y"), "key_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -467,20 +546,12 @@ def verified(edges: DataFrame, texts: DataFrame, words: int = SIMILAR_WORDS, sim
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def verified_nodes(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """The edges that hold, from the nodes' first rows (node, one.key) and all texts (key, text)."""
-    edges = cut(edges)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = firsts.join(ends, "node", "left_semi").select("node", F.col("one.key").alias("of"))
-    texts = keyed.join(asked, F.col("key") == F.col("of")).groupBy("node").agg(F.first("text").alias("text"))
-    return verified(edges, texts, words, similar)
-
-
 def near_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they came: of each group of near copies the row with the smallest identifier.
 
     Texts with the same shingles are one from the start. Rows are told apart by identifier and text; of rows that repeat both, one stays.
     """
+    small_batches(docs.sparkSession)
     mark = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).cast("binary"))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), mark.alias("key"))
     levels = shingle_levels(keyed, words)
@@ -489,23 +560,31 @@ def near_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, similar: f
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
             node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-            wide, size = pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32())
-            seldom = pa.array([seldom_first(x, levels, similar).tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node), wide, size, seldom], names=["doc_id", "key", "node", "wide", "size", "seldom"])
+            size = pa.array(list(map(len, sets)), pa.int32())
+            wide, odd, seldom = (pa.array(x, pa.binary()) for x in ([wide_fingerprint(x).tobytes() for x in sets], list(map(parities, sets)), [seldom_first(x, levels, similar).tobytes() for x in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node), wide, size, odd, seldom], names=["doc_id", "key", "node", "wide", "size", "odd", "seldom"])
 
-    marks = keyed.mapInArrow(run, "doc_id long, key string, node long, wide binary, size int, seldom binary")
+    marks = kept_on_disk(keyed.mapInArrow(run, "doc_id long, key string, node long, wide binary, size int, odd binary, seldom binary"))
     # structs compare field by field: rows with an identifier first
-    firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.first("seldom").alias("seldom"))
-    firsts = kept_on_disk(firsts)
-    n, tokens = firsts.agg(F.count("*"), F.coalesce(F.sum(F.length("seldom")), F.lit(0)) / 8).first()
-    close = cut(verified_nodes(similar_edges(firsts.select("node", "wide"), n, similar), firsts, keyed, words, similar))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    firsts = kept_on_disk(marks.groupBy("node").agg(one, *(F.first(c).alias(c) for c in ("wide", "size", "odd"))))
+    n, tokens = firsts.count(), int(marks.agg(F.coalesce(F.sum(F.length("seldom")), F.lit(0))).first()[0]) // 8
+    close = cut(verified(similar_edges(firsts.select("node", "wide"), n, similar), firsts, keyed, words, similar))
     near = connected(close).withColumnRenamed("node", "linked")
-    grouped = firsts.join(near, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("label", "node").alias("label"), "size", "seldom")
-    rest = verified_nodes(missed_edges(grouped, int(tokens), similar), firsts, keyed, words, similar)
+    shared = shared_tokens(marks, repeated_tokens(marks, tokens))
+    grouped = shared.join(near, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("label", "node").alias("label"), "size", "seldom", "at")
+    rest = verified(missed_edges(grouped, tokens, similar), firsts, keyed, words, similar)
     labels = connected(close.unionByName(rest))
     placed = firsts.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("one", F.coalesce("label", "node").alias("label"))
-    kept = placed.groupBy("label").agg(F.min("one").alias("one")).select("one.key").distinct()
-    n = len(docs.columns)
+    kept = placed.groupBy("label").agg(F.min("one").alias("one")).select("one.key", F.lit(True).alias("stays")).distinct()
+    # all other rows stay as they are
+    found = marks.groupBy("key").agg(F.count("*").alias("many")).join(kept, "key", "left").where("stays is null or many > 1")
+    found = cut(found.select(F.col("key").alias("found"), F.coalesce("stays", F.lit(False)).alias("stays")))
+    marks.unpersist()
+    firsts.unpersist()
+    n, asked = len(docs.columns), marked_keys(found, "found").of(F.xxhash64("key"))
     rows = docs.select("*", mark.alias("mark of the row")).toDF(*(f"c{i}" for i in range(n)), "key")
-    rows = rows.join(kept, "key", "left_semi").withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("key")))
-    return rows.where("turn = 1").select(*(f"c{i}" for i in range(n))).toDF(*docs.columns)
+    others = rows.where(asked).join(found, F.col("key") == F.col("found"), "left").where("stays is null or stays")
+    others = others.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("key"))).where("turn = 1")
+    columns = [f"c{i}" for i in range(n)]
+    return rows.where(~asked).select(*columns).unionByName(others.select(*columns)).toDF(*docs.columns)

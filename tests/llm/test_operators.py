@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -680,6 +681,69 @@ def test_no_link_at_the_threshold_is_lost(spark):
     assert kept == {2 * i for i in range(1500)}
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    time.sleep(0.3)
+    spark.range(1).count()  # Spark's figures follow with the next event
+    context.listenerBus().waitUntilEmpty(30_000)
+    machines = context.statusStore().executorList(False)
+    return sum(machines.apply(i).totalShuffleWrite() for i in range(machines.size()))
+
+
+def test_near_dedup_deals_out_less_than_the_texts(spark):
+    """Shuffles of texts, or of all their seldom shingles with what belongs to each, fill the disks: less is written than the texts' bytes."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = [(i, " ".join(word() for _ in range(400))) for i in range(1500)]
+    rows += [(2000 + i, " ".join([*rows[i][1].split()[:390], *(word() for _ in range(10))])) for i in range(30)]
+    docs = spark.createDataFrame([*rows, *rows[100:120], *rows[1500:1510]], "doc_id long, text string").repartition(4).persist()
+    docs.count()
+    before = shuffled(spark)
+    kept = simhash.near_representatives(docs).collect()
+    assert shuffled(spark) - before < sum(len(t) for _, t in rows)
+    # rows that repeat stay once
+    assert sorted(r.doc_id for r in kept) == list(range(1500)) and {(r.doc_id, r.text) for r in kept} == set(rows[:1500])
+    docs.unpersist()
+
+
+def test_parities_drop_nothing_similar():
+    """Texts differ in as many shingles as their parities say, or more; equal ones in none."""
+    rng = np.random.default_rng(5)
+    for a, b, both in [(0, 3, 0), (1, 1, 0), (5, 5, 4), (64, 65, 60), (300, 240, 235), (1000, 1200, 0), (40_000, 100, 50), (20_000, 20_000, 19_000)]:
+        common, x, y = (rng.integers(0, 1 << 63, n, np.uint64) for n in (both, a - both, b - both))
+        x, y = np.concatenate((common, x)), np.concatenate((common, y))
+        apart = simhash.least_apart(simhash.parities(x), simhash.parities(y))
+        assert apart == simhash.least_apart(simhash.parities(y), simhash.parities(x)) <= len(np.setxor1d(x, y)) and simhash.least_apart(simhash.parities(x), simhash.parities(x)) == 0
+        assert both or not a or apart > 0
+
+
+def test_repeated_shingles_are_marked(spark):
+    """What two texts have is marked, whatever else is; keys by their hash as well."""
+    rng = np.random.default_rng(6)
+    both, sets = rng.integers(0, 1 << 63, 300, np.uint64) * np.uint64(2), []
+    for i in range(200):
+        own = rng.integers(0, 1 << 63, 2000, np.uint64) * np.uint64(2) + np.uint64(1)
+        sets.append(np.concatenate((own, both[i : i + 2])))
+    rows = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, size int, seldom binary").repartition(3)
+    marks = simhash.repeated_tokens(rows, sum(map(len, sets)))
+    assert marks.has(both[1:200]).all() and marks.has(np.concatenate([x[:-2] for x in sets])).mean() < 0.05
+    found = {r.node: (np.frombuffer(r.seldom, np.uint64), np.frombuffer(r.at, np.int32), r.size) for r in simhash.shared_tokens(rows, marks).collect()}
+    for i, x in enumerate(sets):
+        tokens, at, size = found[i]
+        assert set(x[-2:].tolist()) & set(both[1:200].tolist()) <= set(tokens.tolist()) and (x[at] == tokens).all() and size == len(x)
+    keys = spark.range(5000).select(F.col("id").cast("string").alias("key"))
+    held = held_keys(keys)
+    assert held[0] == 500 and held[1] < 5000 * 0.2
+
+
+def held_keys(keys):
+    """How many of the marked tenth of the keys are found, and how many of all."""
+    few = keys.where("cast(key as int) % 10 = 0")
+    found = keys.where(common.marked_keys(few, "key").of(F.xxhash64("key")))
+    return found.where("cast(key as int) % 10 = 0").count(), found.count()
+
+
 def test_hot_join(spark):
     rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(900)] + [(None, 5), (1001, 777_777)], "doc_id long, k long")
     values = rows.where("k <> 777777").groupBy("k").agg(F.min("doc_id").alias("low"), F.count("*").alias("many"))
