@@ -528,10 +528,12 @@ def verified(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int =
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], names=["key", "set"])
+            part = batch.filter(pa.array(asked.has(batch.column("hash").to_numpy())))
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in part.column("text")], pa.binary())], names=["key", "set"])
 
-    # rows that repeat identifier and text have one set
-    sets = keyed.where(asked.of(F.xxhash64("key"))).select("key", "text").mapInArrow(hashes, "key string, set binary").groupBy("key").agg(F.first("set").alias("set"))
+    # told apart where they are hashed: a filter before would be a second Python worker to each task; rows that repeat identifier and text have one set
+    sets = keyed.select(F.xxhash64("key").alias("hash"), "key", "text").mapInArrow(hashes, "key string, set binary").groupBy("key").agg(F.first("set").alias("set"))
     pairs = pairs.join(sets.toDF("key_a", "x"), "key_a").join(sets.toDF("key_b", "y"), "key_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
