@@ -192,13 +192,14 @@ def links_rollup(links: DataFrame) -> DataFrame:
     return grouped.withColumn("order", F.struct((F.size("methods") == 0).alias("a"), (-F.col("n")).alias("b"), F.col("host").alias("c"), F.col("link").alias("d")))
 
 
-def paper_links(links: DataFrame, vocabulary: list[str]) -> DataFrame:
+def paper_links(links: DataFrame, vocabulary: list[str], rows: list[str] | None = None) -> DataFrame:
     """Links by paper: how many, distinct sources as first seen, the first that has a place, methods in the vocabulary's order.
 
-    Null sources are none; sources without a place come last, and of one place the smaller comes first.
+    Null sources are none; sources without a place come last. Of one place the first by the columns `rows` comes first, or else the smaller.
     """
-    first = F.min_by("source", F.when(F.col("source").isNotNull() & F.col("pos").isNotNull(), F.struct("pos", "source")))
-    placed = F.when(F.col("source").isNotNull(), F.struct(F.col("pos").isNull().alias("late"), "pos", "source"))
+    place = F.struct("pos", *(rows or []), "source")
+    first = F.min_by("source", F.when(F.col("source").isNotNull() & F.col("pos").isNotNull(), place))
+    placed = F.when(F.col("source").isNotNull(), F.struct(F.col("pos").isNull().alias("late"), "pos", *(rows or []), "source"))
     ordered = F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["source"])
     own = links.groupBy("paper").agg(F.count_distinct("link").alias("n"), F.array_distinct(ordered).alias("sources"), first.alias("first_source"), F.collect_set("method").alias("_m"))
     return own.withColumn("methods", F.filter(F.array(*(F.lit(v) for v in vocabulary)), lambda x: F.array_contains("_m", x))).drop("_m")

@@ -22,3 +22,20 @@ def test_odd_table(spark, tmp_path, name, table, rows, schema):
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL[name]})").fetchall()
     assert Counter(map(tuple, got.collect())) == Counter(expected) and expected
+
+
+#: Rows of a paper that share their place, in one file and in two, and quantities that round to and from one place.
+TIES = [(1, 7, 4, 2, 2.0, "N", "O"), (1, 7, 5, 2, 2.0, "A", "F"), (2, 7, 4, 1, 2.7, "N", "F"), (2, 7, 4, 1, 2.2, "N", "O"), (3, 7, 4, 1, 2.5, "N", "O"), (3, 7, 4, 1, 1.5, "N", "F"), (4, 7, 5, 1, 1.0, "R", None), (4, 7, 5, 1, 1.0, "R", "O"), (5, 100_007, 4, 1, 2.0, "R", "O"), (5, 7, 4, 2, 2.0, "R", "F")]
+TIES_BEHIND = [(1, 7, 4, 2, 2.0, "N", "A"), (4, 7, 5, 1, 1.0, "R", "F"), (6, 1, 1, 1, 1.0, "R", "O")]
+
+
+def test_d10_rows_of_one_place(spark, tmp_path):
+    for i, rows in enumerate((TIES, TIES_BEHIND)):
+        spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / str(i)).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
+    got = catalog.QUERIES["d10_paper_links"](spark, str(tmp_path))
+    con = duckdb.connect(config={"threads": 1})  # of one place, the row that the table has first
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL['d10_paper_links']})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(expected) and expected
