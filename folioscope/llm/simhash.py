@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioscope.llm.common import PIECE_BITS, Marks, binary_column, cut, hot_join, id_and_text, kept_on_disk, marked_keys, partitions, scaled, slices, small_batches, table
+from folioscope.llm.common import PIECE_BITS, SLICE_BYTES, Marks, binary_column, cut, hot_join, id_and_text, kept_on_disk, marked_keys, partitions, scaled, slices, small_batches, table
 
 WORDS = 4
 LINK = 4
@@ -433,7 +433,8 @@ def repeated_tokens(marks: DataFrame, tokens: int) -> Marks:
 
 
 def shared_tokens(marks: DataFrame, repeated: Marks) -> DataFrame:
-    """(node, size, seldom, at): of the seldom shingles those that may be in two texts, with their places in the order; a row for each node that has any."""
+    """(node, size, seldom, at): of the seldom shingles those that may be in two texts, with their places in the order; a row for each node that has any, with its parities (odd) if the marks have them."""
+    own = {c: t for c, t in (("size", "int"), ("odd", "binary")) if c in marks.columns}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,11 +444,11 @@ def shared_tokens(marks: DataFrame, repeated: Marks) -> DataFrame:
                 at, keep = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many), repeated.has(x)
                 left = np.bincount(np.repeat(np.arange(len(many)), many)[keep], minlength=len(many))
                 some = np.flatnonzero(left)
-                node, size = (part.column(c).take(pa.array(some)) for c in ("node", "size"))
-                yield pa.RecordBatch.from_arrays([node, size, binary_column(8 * left[some], x[keep]), binary_column(4 * left[some], at[keep].astype(np.int32))], names=["node", "size", "seldom", "at"])
+                columns = [part.column(c).take(pa.array(some)) for c in ("node", *own)]
+                yield pa.RecordBatch.from_arrays([*columns, binary_column(8 * left[some], x[keep]), binary_column(4 * left[some], at[keep].astype(np.int32))], names=["node", *own, "seldom", "at"])
 
-    rows = marks.select("node", "size", "seldom").mapInArrow(pick, "node long, size int, seldom binary, at binary")
-    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "seldom", "at")))
+    rows = marks.select("node", *own, "seldom").mapInArrow(pick, ", ".join(("node long", *(f"{c} {t}" for c, t in own.items()), "seldom binary, at binary")))
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in (*own, "seldom", "at")))
 
 
 def cross_pairs(token: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.ndarray, similar: float = SIMILAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -473,29 +474,62 @@ def cross_pairs(token: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.n
         own, upto = own[n:], upto[n:] - upto[n - 1]
 
 
+def possible_pairs(a: np.ndarray, b: np.ndarray, size: np.ndarray, width: np.ndarray, words: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """Which pairs of rows can be at `similar`, by their parities: `width` of the `words` for each row."""
+    offset = np.cumsum(width) - width
+    a, b = np.where(width[a] < width[b], b, a), np.where(width[a] < width[b], a, b)
+    apart, kind = np.zeros(len(a), np.int64), width[a] << np.int64(20) | width[b]
+    for k in np.unique(kind).tolist():
+        wide, small, rows = k >> 20, k & ((1 << 20) - 1), np.flatnonzero(kind == k)
+        step = max(1, SLICE_BYTES // (8 * wide))
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            x = np.bitwise_xor.reduce(words[offset[a[r], None] + np.arange(wide)].reshape(len(r), -1, small), axis=1)
+            apart[r] = np.bitwise_count(x ^ words[offset[b[r], None] + np.arange(small)]).sum(axis=1, dtype=np.int64)
+    return can_be(apart, size[a] + size[b], similar)
+
+
 def missed_edges(placed: DataFrame, tokens: int, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): every pair of nodes (node, label, size, seldom, at) of different labels that can be at `similar`."""
+    """(a, b): every pair of nodes (node, label, size, odd, seldom, at) of different labels that can be at `similar`, also by their parities.
+
+    A node goes to each part of the tokens with its own there, and with its parities: what these rule out, most of the pairs in a large
+    group of texts that are alike but not at `similar`, is dropped where the pairs are found.
+    """
+    parts = scaled(tokens, TASK_ROWS, partitions(placed.sparkSession))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "seldom"):
-                sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column("seldom")]
-                many = np.fromiter(map(len, sets), np.int64, len(sets))
-                at = np.frombuffer(b"".join(part.column("at").to_pylist()), np.int32)
-                columns = [np.repeat(part.column(c).to_numpy(), many) for c in ("node", "label", "size")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *columns, at)], names=["token", "node", "label", "size", "at"])
+                many = pa.compute.binary_length(part.column("seldom")).to_numpy() // 8
+                token, at = (np.frombuffer(b"".join(part.column(c).to_pylist()), d) for c, d in (("seldom", np.uint64), ("at", np.int32)))
+                # a token's high bits are its place among the marks, its low ones its cell in the table of counts
+                to, row = (token >> np.uint64(8)) % np.uint64(parts), np.repeat(np.arange(part.num_rows), many)
+                order = np.lexsort((to, row))
+                token, at, to, row = token[order], at[order], to[order].astype(np.int64), row[order]
+                first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (to[1:] != to[:-1])))) if len(row) else np.zeros(0, np.int64)
+                own = np.diff(np.append(first, len(row)))
+                for i in range(0, len(first), 4096):
+                    x, n = first[i : i + 4096], own[i : i + 4096]
+                    ends = slice(x[0], x[-1] + n[-1])
+                    columns = [part.column(c).take(pa.array(row[x])) for c in ("node", "label", "size", "odd")]
+                    yield pa.RecordBatch.from_arrays([pa.array(to[x].astype(np.int32)), *columns, binary_column(8 * n, token[ends]), binary_column(4 * n, at[ends])], names=["part", "node", "label", "size", "odd", "seldom", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "node", "label", "size", "at")
-        parts = [[b.column(c).to_numpy() for c in names] for b in batches]
-        if parts:
-            token, node, label, size, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for a, b in cross_pairs(token, label, size.astype(np.int64), at.astype(np.int64), similar):
-                pairs = np.unique(np.stack((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    rows = placed.select("node", "label", "size", "seldom", "at").mapInArrow(deal, "token long, node long, label long, size int, at int")
-    return rows.repartition(scaled(tokens, TASK_ROWS, partitions(placed.sparkSession)), "token").mapInArrow(run, "a long, b long").distinct()
+        if rows := list(batches):
+            node, label, size, odd, seldom, place = (pa.concat_arrays([b.column(c) for b in rows]) for c in ("node", "label", "size", "odd", "seldom", "at"))
+            node, label, size = node.to_numpy(), label.to_numpy(), size.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(node)), pa.compute.binary_length(seldom).to_numpy() // 8)
+            token, at = np.frombuffer(b"".join(seldom.to_pylist()), np.uint64), np.frombuffer(b"".join(place.to_pylist()), np.int32).astype(np.int64)
+            width, words = pa.compute.binary_length(odd).to_numpy().astype(np.int64) // 8, np.frombuffer(b"".join(odd.to_pylist()), np.uint64)
+            for a, b in cross_pairs(token, label[row], size[row], at, similar):
+                a, b = row[a], row[b]
+                a, b = np.divmod(np.unique(np.minimum(a, b) * len(node) + np.maximum(a, b)), len(node))
+                keep = possible_pairs(a, b, size, width, words, similar)
+                a, b = node[a[keep]], node[b[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    rows = placed.select("node", "label", "size", "odd", "seldom", "at").mapInArrow(deal, "part int, node long, label long, size int, odd binary, seldom binary, at binary")
+    return rows.repartitionById(parts, "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def parities(hashes: np.ndarray) -> bytes:
@@ -504,6 +538,11 @@ def parities(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
 
 
+def can_be(apart: np.ndarray, total: np.ndarray, similar: float) -> np.ndarray:
+    """Whether sets of `total` hashes together that differ in `apart` at least can be at `similar`."""
+    return apart * (1 + similar) <= total * (1 - similar) * (1 + 1e-9)
+
+
 def least_apart(x: bytes, y: bytes) -> int:
     """Sets of hashes with these parities differ in as many hashes at least."""
     x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
@@ -520,8 +559,7 @@ def verified(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int =
             total = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
             odd = zip(batch.column("odd_a"), batch.column("odd_b"), strict=True)
             apart = np.fromiter((least_apart(x.as_py(), y.as_py()) for x, y in odd), np.int64, batch.num_rows)
-            keep = apart * (1 + similar) <= total * (1 - similar) * (1 + 1e-9)
-            yield batch.filter(pa.array(keep)).select(["a", "b", "key_a", "key_b"])
+            yield batch.filter(pa.array(can_be(apart, total, similar))).select(["a", "b", "key_a", "key_b"])
 
     pairs = cut(pairs.select("a", "b", "key_a", "key_b", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(possible, "a long, b long, key_a string, key_b string"))
     asked = marked_keys(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct(), "key")
@@ -574,7 +612,7 @@ def near_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, similar: f
     close = cut(verified(similar_edges(firsts.select("node", "wide"), n, similar), firsts, keyed, words, similar))
     near = connected(close).withColumnRenamed("node", "linked")
     shared = shared_tokens(marks, repeated_tokens(marks, tokens))
-    grouped = shared.join(near, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("label", "node").alias("label"), "size", "seldom", "at")
+    grouped = shared.join(near, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("label", "node").alias("label"), "size", "odd", "seldom", "at")
     rest = verified(missed_edges(grouped, tokens, similar), firsts, keyed, words, similar)
     labels = connected(close.unionByName(rest))
     placed = firsts.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("one", F.coalesce("label", "node").alias("label"))

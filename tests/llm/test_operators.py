@@ -977,3 +977,25 @@ def test_byte_bpe_cache_overflow_and_portions_change_nothing(monkeypatch):
         got = bpe.encode(texts)
         assert [ids.tolist() for ids in got] == [plain.encode_ordinary(text) for text in texts]
         assert bpe.decode(got) == [text.encode() for text in texts]
+
+
+def test_alike_texts_make_few_pairs(spark):
+    """Of a large group of texts that are alike, but not at the similarity, hardly a pair leaves the tokens' parts; no pair at it is lost."""
+    rng = np.random.default_rng(8)
+    core, sets, pairs = rng.integers(0, 1 << 63, 400, np.uint64), [], set()
+    for i in range(600):
+        n = 400 if i % 3 == 0 else 100  # of 500 and 520 hashes, or 140: parities of several widths
+        x = np.concatenate((core[:n], rng.integers(0, 1 << 63, 200 if n == 400 else 40, np.uint64)))
+        sets.append(x[:500] if n == 400 else x)
+        if i % 20 == 0:
+            pairs.add((len(sets) - 1, len(sets)))
+            sets.append(np.concatenate((x[:500], rng.integers(0, 1 << 63, 20, np.uint64))) if n == 400 else np.concatenate((x[:-5], rng.integers(0, 1 << 63, 5, np.uint64))))
+    rows = []
+    for i, x in enumerate(sets):
+        many = len(x) - int(np.ceil(simhash.SIMILAR * len(x))) + 1
+        rows.append((i, i, len(x), bytearray(simhash.parities(x)), bytearray(x[:many].tobytes()), bytearray(np.arange(many, dtype=np.int32).tobytes())))
+    placed = spark.createDataFrame(rows, "node long, label long, size int, odd binary, seldom binary, at binary").repartition(3)
+    found = [(r.a, r.b) for r in simhash.missed_edges(placed, sum(len(r[4]) // 8 for r in rows)).collect()]
+    assert len(found) == len(set(found)) and pairs <= set(found) and len(found) < 5 * len(sets)
+    similar = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (both := len(np.intersect1d(sets[i], sets[j]))) >= simhash.SIMILAR * (len(sets[i]) + len(sets[j]) - both)}
+    assert similar <= set(found)
