@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import id_and_text, slices, small_batches, table, tokenizer_path
+from folioscope.llm.common import HELD, frugal, give_back, id_and_text, slices, small_batches, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of a piece from which on a round contracts all occurrences of the minimum rank.
@@ -260,15 +260,16 @@ class DuckBpe:
         return out
 
 
-_WORKER: dict[tuple[str, str], DuckBpe] = {}
+#: The encoder's name among what a worker keeps.
+KEPT = "byte_bpe"
 
 
 def worker_bpe(path: str, pattern: str) -> DuckBpe:
-    """The worker's own encoder; it outlives a task."""
-    if (path, pattern) not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path, pattern] = DuckBpe(path, pattern)
-    return _WORKER[path, pattern]
+    """The worker's own encoder; it outlives a task, until the worker turns to a stage that lets it go."""
+    if HELD.get(KEPT, ((), None))[0] != (path, pattern):
+        HELD.pop(KEPT, None)
+        HELD[KEPT] = (path, pattern), DuckBpe(path, pattern)
+    return HELD[KEPT][1]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,9 +292,11 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
                 data, n = raw if with_ids else [None] * len(raw), [len(i) for i in ids]
                 sha, back = ([hashlib.sha256(x).hexdigest() for x in many] for many in (raw, bpe.decode(ids)))
                 arrays = [part.column("doc_id"), pa.array(data, pa.binary()), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
+                del ids, raw, data
+                give_back()
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(run, KEPT), "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -309,7 +312,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None, id_col:
                 lists = [np.frombuffer(t.as_py() or b"", "<u4") for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bpe.decode(lists), pa.binary())], names=["doc_id", "text"])
 
-    return id_and_text(encoded, id_col, ids_col).mapInArrow(run, "doc_id long, text binary")
+    return id_and_text(encoded, id_col, ids_col).mapInArrow(frugal(run, KEPT), "doc_id long, text binary")
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What a Python worker keeps from one task to the next, by name.
+HELD: dict = {}
+
+
+def let_go(keeps: str = "") -> None:
+    """Drop what earlier tasks of other stages have left in this worker: Spark gives it to any stage of the session."""
+    if gone := [k for k in HELD if k != keeps]:
+        for k in gone:
+            del HELD[k]
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free inside this worker back to the system; both allocators keep it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, in a worker that holds nothing of other stages before, but what is kept by that name, and no free memory after."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def kept_on_disk(df: DataFrame) -> DataFrame:
     """Hold a table that is read twice. Lost blocks are recomputed from the lineage, which stays."""
     return df.persist(StorageLevel.DISK_ONLY)
@@ -127,6 +161,7 @@ def marked_keys(keys: DataFrame, key: str) -> Marks:
     place = F.shiftrightunsigned(F.xxhash64(key), 64 - marks.bits)
     rows = keys.select(F.shiftright(place, PIECE_BITS).cast("int").alias("piece"), place.bitwiseAND(F.lit((1 << PIECE_BITS) - 1)).cast("int").alias("place"))
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import id_and_text, kept_on_disk, slices
+from folioscope.llm.common import frugal, id_and_text, kept_on_disk, slices
 
 #: Bytes of labels and rows that a trie holds before it is emptied or spilled.
 TRIE_BYTES = 96 << 20
@@ -235,6 +235,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = len(fields)
     wide = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField("rank", T.LongType()), T.StructField("none", T.BooleanType()), T.StructField("length", T.LongType()), T.StructField("hash", T.BinaryType())])
 
+    @frugal
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, waiting = PatriciaTrie(), []
 
@@ -270,6 +271,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     yield from rows()
         yield from rows()
 
+    @frugal
     def owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie()
         for batch in batches:

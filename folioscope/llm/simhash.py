@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioscope.llm.common import PIECE_BITS, SLICE_BYTES, Marks, binary_column, cut, hot_join, id_and_text, kept_on_disk, marked_keys, partitions, scaled, slices, small_batches, table
+from folioscope.llm.common import PIECE_BITS, SLICE_BYTES, Marks, binary_column, cut, frugal, hot_join, id_and_text, kept_on_disk, marked_keys, partitions, scaled, slices, small_batches, table
 
 WORDS = 4
 LINK = 4
@@ -344,6 +344,7 @@ def similar_edges(marks: DataFrame, n: int, similar: float = SIMILAR) -> DataFra
     choices, most, spark = bit_choices(n, similar), loose_distance(similar, SENT), marks.sparkSession
     powers = np.int64(1) << np.arange(choices.shape[1], dtype=np.int64)
 
+    @frugal
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -356,6 +357,7 @@ def similar_edges(marks: DataFrame, n: int, similar: float = SIMILAR) -> DataFra
                     sent = binary_column(np.full(len(whole), 8 * SENT), whole[:, (k + np.arange(SENT)) % PARTS])
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column("node"), sent], names=["bucket", "node", "sent"])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column("bucket").to_numpy(), b.column("node").to_numpy(), b"".join(b.column("sent").to_pylist())) for b in batches]
         if parts:
@@ -372,6 +374,7 @@ def similar_edges(marks: DataFrame, n: int, similar: float = SIMILAR) -> DataFra
 def shingle_levels(keyed: DataFrame, words: int) -> np.ndarray:
     """How frequent the shingles of each cell are, on a logarithmic scale, from the texts."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint64)
         for batch in batches:
@@ -381,6 +384,7 @@ def shingle_levels(keyed: DataFrame, words: int) -> np.ndarray:
         if cells.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(cells, PIECES)], pa.binary())], names=["piece", "counts"])
 
+    @frugal
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -407,6 +411,7 @@ def repeated_tokens(marks: DataFrame, tokens: int) -> Marks:
     found = Marks(tokens // 16)
     high = found.bits - PIECE_BITS
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "seldom"):
@@ -417,6 +422,7 @@ def repeated_tokens(marks: DataFrame, tokens: int) -> Marks:
                 low = (x >> np.uint64(32 - high)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), binary_column(4 * many[some], low)], names=["piece", "low"])
 
+    @frugal
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, list[np.ndarray]] = {}
         for batch in batches:
@@ -436,6 +442,7 @@ def shared_tokens(marks: DataFrame, repeated: Marks) -> DataFrame:
     """(node, size, seldom, at): of the seldom shingles those that may be in two texts, with their places in the order; a row for each node that has any, with its parities (odd) if the marks have them."""
     own = {c: t for c, t in (("size", "int"), ("odd", "binary")) if c in marks.columns}
 
+    @frugal
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "seldom"):
@@ -497,6 +504,7 @@ def missed_edges(placed: DataFrame, tokens: int, similar: float = SIMILAR) -> Da
     """
     parts = scaled(tokens, TASK_ROWS, partitions(placed.sparkSession))
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "seldom"):
@@ -514,6 +522,7 @@ def missed_edges(placed: DataFrame, tokens: int, similar: float = SIMILAR) -> Da
                     columns = [part.column(c).take(pa.array(row[x])) for c in ("node", "label", "size", "odd")]
                     yield pa.RecordBatch.from_arrays([pa.array(to[x].astype(np.int32)), *columns, binary_column(8 * n, token[ends]), binary_column(4 * n, at[ends])], names=["part", "node", "label", "size", "odd", "seldom", "at"])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows := list(batches):
             node, label, size, odd, seldom, place = (pa.concat_arrays([b.column(c) for b in rows]) for c in ("node", "label", "size", "odd", "seldom", "at"))
@@ -554,6 +563,7 @@ def verified(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int =
     ends = firsts.select("node", "one.key", "size", "odd")
     pairs = edges.join(ends.toDF("a", "key_a", "size_a", "odd_a"), "a").join(ends.toDF("b", "key_b", "size_b", "odd_b"), "b")
 
+    @frugal
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
@@ -564,6 +574,7 @@ def verified(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int =
     pairs = cut(pairs.select("a", "b", "key_a", "key_b", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(possible, "a long, b long, key_a string, key_b string"))
     asked = marked_keys(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct(), "key")
 
+    @frugal
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = batch.filter(pa.array(asked.has(batch.column("hash").to_numpy())))
@@ -574,6 +585,7 @@ def verified(edges: DataFrame, firsts: DataFrame, keyed: DataFrame, words: int =
     sets = keyed.select(F.xxhash64("key").alias("hash"), "key", "text").mapInArrow(hashes, "key string, set binary").groupBy("key").agg(F.first("set").alias("set"))
     pairs = pairs.join(sets.toDF("key_a", "x"), "key_a").join(sets.toDF("key_b", "y"), "key_b")
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -596,6 +608,7 @@ def near_representatives(docs: DataFrame, words: int = SIMILAR_WORDS, similar: f
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), mark.alias("key"))
     levels = shingle_levels(keyed, words)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]

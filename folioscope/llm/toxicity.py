@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, kept_on_disk, table
+from folioscope.llm.common import frugal, id_and_text, kept_on_disk, table
 
 TRAIN_DOCS = 6_000
 VOCABULARY = 1_000
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     # about train_docs rows of 12 bytes, whatever the size of the tables
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marks), F.col("doc_id") == F.col("of"))
 
+    @frugal
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words_of(t.as_py()) for t in batch.column("text")]
@@ -146,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
         sample.unpersist()
         return Model({}, np.zeros(0))
 
+    @frugal
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
@@ -165,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     place = {r["code"]: i for i, r in enumerate(chosen)}
     typical = frozenset(r["code"] for r in chosen if r["a"] >= PURE * (r["a"] + r["b"]))
 
+    @frugal
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = []
@@ -194,6 +197,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, severity (expected grade), p_toxic, grade, toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
@@ -210,6 +214,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -999,3 +1000,41 @@ def test_alike_texts_make_few_pairs(spark):
     assert len(found) == len(set(found)) and pairs <= set(found) and len(found) < 5 * len(sets)
     similar = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (both := len(np.intersect1d(sets[i], sets[j]))) >= simhash.SIMILAR * (len(sets[i]) + len(sets[j]) - both)}
     assert similar <= set(found)
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "exact_dedup", "near_dedup"])
+def test_encoders_do_not_outlive_their_stage(spark, docs, stage):
+    """Spark gives a worker to any stage; an encoder that stays takes its memory from the stages that follow."""
+
+    def encoders(batches):
+        import gc
+
+        for batch in batches:
+            n = sum(type(x).__name__ == "DuckBpe" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    def held():
+        return sum(r.n for r in spark.range(0, 64, numPartitions=64).mapInArrow(encoders, "n long").collect())
+
+    rows = docs.repartition(64)
+    byte_bpe.encode_documents(rows).write.format("noop").mode("overwrite").save()
+    assert held()
+    labels = docs.selectExpr("doc_id", "pmod(doc_id, 2) = 0 as toxic", "0 as quality")
+    made = {"toxicity": lambda: toxicity.drop_toxic(rows, toxicity.fit(rows, labels)), "exact_dedup": lambda: exact_dedup.drop_copies(rows), "near_dedup": lambda: simhash.near_representatives(rows)}[stage]()
+    made.write.format("noop").mode("overwrite").save()
+    assert held() == 0
+
+
+def test_free_memory_goes_back():
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:")) >> 10
+
+    def run(batches):
+        for _ in batches:
+            parts = [pa.array([b"x" * 100_000] * 10) for _ in range(150)]  # 150 MB
+            yield len(parts)
+
+    before = resident()
+    assert list(common.frugal(run)(iter([None]))) == [150]
+    assert resident() - before < 60
